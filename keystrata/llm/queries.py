@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import sharding, url_filter
+from keystrata.llm import ngram_join, sharding, url_filter
 from keystrata.llm.shared import table
 
 
@@ -21,8 +21,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kk_sharding, op4_url_filter)}
+    return {f.__name__: f for f in (op1_kk_sharding, op4_url_filter, op8_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
