@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import ngram_join, sharding, url_filter
+from keystrata.llm import decontaminate, line_dedup, ngram_join, sharding, url_filter
 from keystrata.llm.shared import table
 
 
@@ -21,13 +21,24 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n = F.size("items")
+    return hits.select("doc_id", "n_words", "n_hit", n.cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kk_sharding, op4_url_filter, op8_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_kk_sharding, op4_url_filter, op5_line_dedup, op8_ngram_jaccard, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.ORACLE}
+    return {"op4_url_filter": url_filter.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_winnowing": decontaminate.ORACLE}
