@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import decontaminate, line_dedup, ngram_join, sharding, url_filter
+from keystrata.llm import decontaminate, language, line_dedup, ngram_join, sharding, token_store, url_filter
 from keystrata.llm.shared import table
 
 
@@ -16,6 +16,18 @@ def op1_kk_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~language.held_out()))
+    return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(url_filter.RULES), "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -37,7 +49,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kk_sharding, op4_url_filter, op5_line_dedup, op8_ngram_jaccard, op9_winnowing)}
+    return {f.__name__: f for f in (op1_kk_sharding, op2_language_id, op3_token_binary, op4_url_filter, op5_line_dedup, op8_ngram_jaccard, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
