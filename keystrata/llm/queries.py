@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import decontaminate, language, line_dedup, ngram_join, sharding, token_store, url_filter
+from keystrata.llm import ann, backoff_lm, decontaminate, language, line_dedup, mixing, ngram_join, sharding, token_store, url_filter
 from keystrata.llm.shared import table
 
 
@@ -38,6 +38,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op7_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -48,8 +56,16 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", n.cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
 
 
+def op10_rake_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kk_sharding, op2_language_id, op3_token_binary, op4_url_filter, op5_line_dedup, op8_ngram_jaccard, op9_winnowing)}
+    named = (
+        op1_kk_sharding, op2_language_id, op3_token_binary, op4_url_filter, op5_line_dedup,
+        op6_stupid_backoff, op7_anisotropic_ann, op8_ngram_jaccard, op9_winnowing, op10_rake_mixing,
+    )
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
