@@ -1,0 +1,46 @@
+import os
+import zlib
+from collections import Counter
+
+import duckdb
+import pytest
+
+from keystrata import queries
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no sample tables")
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    c = duckdb.connect()
+    for name in os.listdir(FOLDER):
+        if name.endswith(".parquet"):
+            c.execute(f"CREATE VIEW {name[:-8]} AS SELECT * FROM '{FOLDER}/{name}'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, oracle, name):
+    found = queries.QUERIES[name](spark, FOLDER)
+    want = oracle.execute(queries.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(found.columns)
+    assert Counter(tuple(r) for r in found.select(*columns).collect()) == Counter(want.fetchall())
+
+
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) - set(queries.ORACLES) == {"crc_of_values"}
+
+
+def test_crc_of_values(spark):
+    from keystrata.fixtures import orders_kv
+
+    values = {bytes(r["user_key"]).decode(): zlib.crc32(bytes(r["value"])) for r in orders_kv(spark, FOLDER).collect()}
+    assert {r["k"]: r["crc"] for r in queries.crc_of_values(spark, FOLDER).collect()} == values
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() == 1 and set(e.oracle_sql()) <= set(e.queries())
