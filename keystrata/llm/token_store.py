@@ -13,6 +13,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from keystrata.llm.shared import new_path, written
 from keystrata.llm.words import mix
 
 #: Chunks that a worker keeps ready.
-READY = 500_000
+READY = 1_200_000
 #: Bits of a level of the perfect hash for each key that reaches it.
 ROOM = 2
 
@@ -79,6 +80,12 @@ class Encoder:
             yield b"".join(have)
 
 
+@cache
+def _encoder(path: str, dtype: str) -> Encoder:
+    """One for each worker process, which keeps its pieces from task to task."""
+    return Encoder(path, dtype)
+
+
 class PerfectHash:
     """Minimal perfect hash of distinct 64-bit integers by levels of bits without collision.
 
@@ -95,7 +102,7 @@ class PerfectHash:
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(size)).astype(np.int64)
+        return (mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(size)).astype(np.int64)
 
     @classmethod
     def of(cls, keys: np.ndarray) -> PerfectHash:
@@ -191,7 +198,7 @@ def _write_shard(rows: Iterator[pd.DataFrame], folder: str, tokenizer: str, end:
     fs, base = pafs.FileSystem.from_uri(folder)
     name = f"{base}/shard-{TaskContext.get().partitionId():06d}"
     draft = f"{name}.{uuid.uuid4().hex}"
-    encoder = Encoder(tokenizer, f"<u{width}")
+    encoder = _encoder(tokenizer, f"<u{width}")
     last = np.array([end], encoder.dtype).tobytes()
     keys: list[str | None] = []
     counts: list[int] = []
