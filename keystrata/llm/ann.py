@@ -163,7 +163,7 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return x.groupBy("vec_id").agg(F.max("vector").alias("vector"))
 
 
-def nearest(vectors: DataFrame, asked: str, key: str = "vec_id", column: str = "embedding", top: int = 20, rerank: int = 128, sample: int = 10_000, block: int = 8192, query_block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, asked: str, key: str = "vec_id", column: str = "embedding", top: int = 20, rerank: int = 256, sample: int = 10_000, block: int = 8192, query_block: int = 512) -> DataFrame:
     """The `top` rows of largest inner product for every row that the SQL condition `asked` on vec_id selects.
 
     The codes are fitted on at most `sample` vectors, chosen by hash of their id, and every

@@ -1,0 +1,44 @@
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from keystrata.llm.backoff_lm import score
+
+
+def brute(docs, order, alpha=0.4, least=2):
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for i, t in docs}
+    counts = Counter(tuple(w[i : i + n]) for w in words.values() for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(len(w) for w in words.values())
+    out = {}
+    for i, w in words.items():
+        s = 0.0
+        for at in range(len(w)):
+            factor = 1.0
+            for n in range(min(order, at + 1), 0, -1):
+                gram = tuple(w[at - n + 1 : at + 1])
+                if n == 1:
+                    s += math.log(factor * counts[gram] / total)
+                elif counts[gram] >= least:
+                    s += math.log(factor * counts[gram] / counts[gram[:-1]])
+                    break
+                factor *= alpha
+        out[i] = len(w), s
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_against_brute_force(docs, order):
+    rng = random.Random(order)
+    rows = [(i, rng.choice([" ", "\n", "  "]).join(rng.choice("abcdefghÉ").upper() if rng.random() < 0.3 else rng.choice("abcdefghé") * rng.randint(1, 2) for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(90, None), (91, ""), (92, " \t")]
+    got = {r["doc_id"]: r for r in score(docs(*rows), order=order).collect()}
+    for i, (n, s) in brute(rows, order).items():
+        assert got[i]["n_words"] == n and got[i]["log_score"] == pytest.approx(s, abs=1e-9)
+        assert got[i]["mean_log_score"] == (pytest.approx(s / n) if n else None)
+
+
+def test_repeats_null_keys_and_empty(docs):
+    rows = {r["doc_id"]: r["n_words"] for r in score(docs((1, "a b"), (1, "a b"), (None, "a"))).collect()}
+    assert rows == {1: 4, None: 1} and score(docs()).collect() == []

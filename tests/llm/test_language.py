@@ -1,0 +1,62 @@
+import zlib
+
+import pytest
+
+from keystrata.llm import language
+
+EN = "the river and the hill were under the morning light while people walked along the water"
+DE = "der fluss und der berg lagen unter dem morgenlicht als die leute am wasser entlang gingen"
+FR = "la rivière et la colline étaient sous la lumière du matin quand les gens marchaient au bord"
+
+
+def corpus():
+    out = []
+    for lang, text in (("en", EN), ("de", DE), ("fr", FR)):
+        words = text.split()
+        out += [(len(out) + i, " ".join(words[i:] + words[:i]), lang) for i in range(len(words))]
+    return out
+
+
+@pytest.fixture
+def model(docs):
+    return language.fit(docs(*corpus()))
+
+
+def reference(model, text):
+    """The summed vectors, word by word."""
+    total = [0.0] * len(model.langs)
+    for word in language.LETTERS.findall(text.lower()):
+        total = [a + b for a, b in zip(total, model.vector(word))]
+    return model.langs[total.index(max(total))]
+
+
+def test_words_then_ngrams(docs, model):
+    texts = ["the people", "Der Berg lag", "rivière", "wasserberg morgenleute", "walking watering hillside", EN * 50]
+    got = {r["doc_id"]: r for r in language.predict(docs(*texts), model).collect()}
+    assert [got[i]["lang_pred"] for i in range(len(texts))] == [reference(model, t) for t in texts]
+    assert got[0]["lang_pred"] == "en" and got[3]["lang_pred"] == "de" and all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_backoff_takes_the_longest(model):
+    assert model.vector("river") is model.known[0]["river"]
+    assert "riverx" not in model.known[0] and list(model.vector("riverx")) == pytest.approx(
+        list(sum(model.known[4][g] for g in language.grams("riverx", 4) if g in model.known[4]) / sum(g in model.known[4] for g in language.grams("riverx", 4)))
+    )
+    assert list(model.vector("жж")) == [0.0] * 3
+
+
+def test_undetermined_and_edges(docs, model):
+    rows = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs((1, None), (2, ""), (3, "12 34 ²³ !"), (4, "ж"), (None, "the")), model).collect()}
+    assert rows == {1: "und", 2: "und", 3: "und", 4: "de", None: "en"}  # a tie goes to the smaller name
+    assert language.predict(docs(), model).collect() == []
+    assert language.predict(docs("the"), language.fit(docs())).first()["lang_pred"] == "und"
+
+
+def test_held_out(docs):
+    got = {r[0]: r[1] for r in docs(*["x"] * 50).select("doc_id", language.held_out().alias("h")).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(50)}
+
+
+def test_sample_is_bounded(docs):
+    few = language.fit(docs(*corpus()), per_language=2, least=1)
+    assert few.langs == ["de", "en", "fr"]

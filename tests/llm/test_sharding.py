@@ -1,0 +1,48 @@
+import itertools
+import random
+import zlib
+
+from keystrata.llm.sharding import differencing, shard_documents
+
+
+def spread(sizes, shards):
+    sums = [0] * shards
+    for size, shard in zip(sizes, differencing(sizes, shards)):
+        sums[shard] += size
+    return max(sums) - min(sums)
+
+
+def test_differencing_known_case():
+    assert spread([8, 7, 6, 5, 4], 2) == 2  # the method's own answer, not the best one
+
+
+def test_differencing_near_best_and_whole():
+    rng = random.Random(3)
+    for _ in range(20):
+        sizes = [rng.randint(1, 50) for _ in range(8)]
+        best = min(max(s) - min(s) for s in ([sum(x for x, y in zip(sizes, c) if y == k) for k in range(3)] for c in itertools.product(range(3), repeat=8)))
+        assert best <= spread(sizes, 3) <= best + max(sizes) // 2
+    assert spread([rng.randint(1, 10**6) for _ in range(5000)], 8) <= 4
+    assert differencing([], 4) == [] and len(set(differencing([1, 1, 1], 4))) == 3
+
+
+def test_documents(docs):
+    rng = random.Random(1)
+    texts = ["x" * rng.randint(0, 400) + str(i) for i in range(300)] + ["copy" * 50] * 40 + [None, None, "", "é" * 30]
+    rows = shard_documents(docs(*texts), 4).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+    shard = {}
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert r["size"] == len(raw) + 1 and r["text_crc32"] == zlib.crc32(raw)
+        assert shard.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"]
+    for s in range(4):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    total = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(4)]
+    assert max(total) - min(total) <= 8
+
+
+def test_repeated_rows_one_group_and_empty(docs):
+    rows = shard_documents(docs((1, "a"), (1, "a"), (None, "a"))).collect()
+    assert len(rows) == 3 and len({r["shard"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == [0, 1, 2]
+    assert shard_documents(docs()).collect() == []
