@@ -39,7 +39,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score(table(spark, sf_dir, "documents"))
+    return backoff_lm.score_bigrams(table(spark, sf_dir, "documents"))
 
 
 def op7_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

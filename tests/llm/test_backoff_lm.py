@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 
-from keystrata.llm.backoff_lm import score
+from keystrata.llm import backoff_lm
+from keystrata.llm.backoff_lm import score, score_bigrams
 
 
 def brute(docs, order, alpha=0.4, least=2):
@@ -29,11 +30,12 @@ def brute(docs, order, alpha=0.4, least=2):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_against_brute_force(docs, order):
+@pytest.mark.parametrize(("order", "share"), [(1, None), (2, None), (3, None), (2, 1 << 20), (2, 100)])
+def test_against_brute_force(docs, monkeypatch, order, share):
+    monkeypatch.setattr(backoff_lm, "BATCH", 7)
     rng = random.Random(order)
     rows = [(i, rng.choice([" ", "\n", "  "]).join(rng.choice("abcdefghÉ").upper() if rng.random() < 0.3 else rng.choice("abcdefghé") * rng.randint(1, 2) for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(90, None), (91, ""), (92, " \t")]
-    got = {r["doc_id"]: r for r in score(docs(*rows), order=order).collect()}
+    got = {r["doc_id"]: r for r in (score(docs(*rows), order=order) if share is None else score_bigrams(docs(*rows), share=share)).collect()}
     for i, (n, s) in brute(rows, order).items():
         assert got[i]["n_words"] == n and got[i]["log_score"] == pytest.approx(s, abs=1e-9)
         assert got[i]["mean_log_score"] == (pytest.approx(s / n) if n else None)
@@ -42,3 +44,5 @@ def test_against_brute_force(docs, order):
 def test_repeats_null_keys_and_empty(docs):
     rows = {r["doc_id"]: r["n_words"] for r in score(docs((1, "a b"), (1, "a b"), (None, "a"))).collect()}
     assert rows == {1: 4, None: 1} and score(docs()).collect() == []
+    rows = sorted((r["doc_id"] or 0, r["n_words"]) for r in score_bigrams(docs((1, "a b"), (1, "a b"), (None, "a"), (4, None))).collect())
+    assert rows == [(0, 1), (1, 2), (1, 2), (4, 0)] and score_bigrams(docs()).collect() == []
