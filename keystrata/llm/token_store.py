@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -26,58 +29,107 @@ from keystrata.llm.shared import new_path, written
 from keystrata.llm.words import mix
 
 #: Chunks that a worker keeps ready.
-READY = 1_200_000
+READY = 700_000
+#: The letters of ASCII and Latin-1, and words of them with marks behind: no letter composes with another or changes its number of letters in lower case.
+LETTER = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xb5\xba")
+WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\\[-`{-~]+)?").fullmatch
+#: Ids that are read at once.
+TOGETHER = 1 << 20
 #: Bits of a level of the perfect hash for each key that reaches it.
 ROOM = 2
 
 
+class _Ready(dict):
+    """Ids by piece; pieces asked for in vain are noted, and None is given."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.new: set[str] = set()
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.older.get(piece)
+        if ids is None:
+            self.new.add(piece)
+        else:
+            self[piece] = ids
+        return ids
+
+    def turn(self) -> None:
+        """When full, what is here becomes the older half, and the half before it goes."""
+        if len(self) > READY:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of whole texts, equal to encoding each text at once.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so texts
-    are cut at spaces and newlines, and each distinct piece is encoded once and kept. A piece
-    that is ASCII is looked up in lower case, and a last comma or full stop after an ASCII
-    letter on its own: the tokenizer lower-cases and cuts there too.
+    are cut at spaces and newlines, and each distinct piece is encoded once and kept. The
+    tokenizer cuts a piece of Latin-1 letters with ASCII marks behind them between the two; the
+    letters are one word to it, whose lower case goes straight to its model with its bytes
+    written as the tokenizer's letters. Any other piece takes the tokenizer's whole way.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
-        self.ready: dict[str, bytes] = {}
-        self.marks = {m: self._plain(m) for m in ".,"}
+        self.ready = _Ready()
+        self.marks: dict[str, bytes] = {}
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = str.maketrans({c: byte_level.pre_tokenize_str(c)[0][0] for c in LETTER if not c.isascii() and c == c.lower()})
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.ready) > READY:
-            self.ready.clear()
-        formed = []
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _packed(self, ids: Iterable[int]) -> bytes:
+        out = array(self.dtype.char, ids)
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
+
+    def _learn(self) -> None:
+        ready, marks, model = self.ready, self.marks, self.tokenizer.model
+        pieces, ready.new = ready.new, set()
+        formed, others = [], set()
         for piece in pieces:
-            mark = self.marks.get(piece[-1:]) if piece[-2:-1].isascii() and piece[-2:-1].isalpha() else None
-            stem = piece[:-1] if mark else piece
-            formed.append((piece, stem.lower() if stem.isascii() else stem, mark or b""))
-        stems = list({stem for _, stem, _ in formed}.difference(self.ready))
-        done = self.tokenizer.encode(stems, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(done.ids, self.dtype).tobytes()
-        owner = np.array([-1 if w is None else w for w in done.word_ids], np.int64)
-        cuts = (np.searchsorted(owner, np.arange(len(stems) + 1)) * self.dtype.itemsize).tolist()
-        self.ready.update((stem, ids[a:b]) for stem, a, b in zip(stems, cuts, cuts[1:]))
-        for piece, stem, mark in formed:
-            self.ready[piece] = self.ready[stem] + mark
+            cut = WORD(piece)
+            if cut is None:
+                others.add(piece)
+                continue
+            stem, mark = cut.groups()
+            stem = stem.lower()
+            ids = ready[stem]
+            if ids is None:
+                ids = ready[stem] = self._packed([t.id for t in model.tokenize(stem if stem.isascii() else stem.translate(self.letters))])
+            if mark:
+                if mark not in marks:
+                    marks[mark] = self._plain(mark)
+                ids += marks[mark]
+            formed.append((piece, ids))
+        if others:
+            stems = list(others)
+            done = self.tokenizer.encode(stems, is_pretokenized=True, add_special_tokens=False)
+            ids = self._packed(done.ids)
+            owner = np.array(done.word_ids, np.int64)
+            cuts = (np.searchsorted(owner, np.arange(len(stems) + 1)) * self.dtype.itemsize).tolist()
+            ready.update((stem, ids[a:b]) for stem, a, b in zip(stems, cuts, cuts[1:]))
+        ready.update(formed)
+        ready.new = set()
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
+        self.ready.turn()
+        get = self.ready.__getitem__
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        found = [list(map(self.ready.get, pieces)) for pieces in split]
-        new = {p for pieces, have in zip(split, found) if None in have for p, x in zip(pieces, have) if x is None}
-        if new:
-            self._learn(new)
+        found = [list(map(get, pieces)) for pieces in split]
+        if self.ready.new:
+            self._learn()
         for pieces, have in zip(split, found):
-            if None in have:
-                have = [self.ready[p] if x is None else x for p, x in zip(pieces, have)]
-            yield b"".join(have)
+            yield b"".join([get(p) if x is None else x for p, x in zip(pieces, have)])
 
 
 @cache
@@ -190,8 +242,17 @@ class Shard:
         slots = self.find(numbered)
         if (slots < 0).any():
             raise ValueError("a key of the shard isn't in its index")
-        for key, slot in zip(self.keys, slots):
-            yield key, int(self.starts[slot]), self.read(slot)
+        starts, counts = self.starts[slots].astype(np.int64), self.counts[slots].astype(np.int64)
+        i = 0
+        while i < len(slots):
+            # Neighbours in the file are read together, up to a bound or one document.
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + TOGETHER)))
+            self.ids.seek(int(starts[i]) * self.width)
+            ids = np.frombuffer(self.ids.read(int(starts[j - 1] + counts[j - 1] - starts[i]) * self.width), f"<u{self.width}").astype("<u4")
+            for n in range(i, j):
+                at = int(starts[n] - starts[i])
+                yield self.keys[n], int(starts[n]), ids[at : at + int(counts[n])]
+            i = j
 
 
 def _write_shard(rows: Iterator[pd.DataFrame], folder: str, tokenizer: str, end: int, width: int) -> Iterator[pd.DataFrame]:
@@ -209,10 +270,10 @@ def _write_shard(rows: Iterator[pd.DataFrame], folder: str, tokenizer: str, end:
         # A few texts at a time, so that memory follows the longest text and not the batch.
         texts, doc_keys = frame["text"].tolist(), frame["doc_key"].tolist()
         for i in range(0, len(texts), 256):
-            for key, ids in zip(doc_keys[i : i + 256], encoder.encode([t or "" for t in texts[i : i + 256]])):
-                out.write(ids + last)
-                keys.append(key)
-                counts.append(len(ids) // width + 1)
+            made = list(encoder.encode([t or "" for t in texts[i : i + 256]]))
+            out.write(last.join([*made, b""]))
+            keys += doc_keys[i : i + 256]
+            counts += [len(ids) // width + 1 for ids in made]
     if out is None:
         return
     out.close()

@@ -1,0 +1,75 @@
+import zlib
+
+import numpy as np
+import pyarrow.fs as pafs
+import pytest
+
+from keystrata.llm import token_store as ts
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PATH = public_tokenizers.path("word_bpe_49k.json")
+TEXTS = [
+    "Hello, World. It's 12.5%!", None, "", "a\n\nb\tc\x0bd\u00a0e", "É É e\u0301 ß ΣΑΣ İI", "end.", "..", "a.,", "x'll don't 's.", "<|endoftext|> <|startoftext|>. a<|endoftext|> a<|endoftext|", "it's! don't' 's' 'S. we'Re, o'", "x*** y%%%, z_ q^_^ \\ []",  "word, word. WORD",
+    "日本語 テキスト。", "\u0301x y", "ÀÉÎÕÜß Straße, École. ÿ ñandú× µ ª", "e\u0301\u0301, É\u0323.", "a" * 3000, "trailing ", " lead", "A1. B2,", "🙂.", "mixed\u2003space, tab\t.",
+]
+
+
+@pytest.fixture(scope="module")
+def plain():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_pieces_equal_whole_texts(plain):
+    encoder = ts.Encoder(PATH, "<u2")
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([t or "" for t in TEXTS])] == [plain(t) for t in TEXTS]
+
+
+def test_every_latin_letter(plain):
+    letters = [chr(c) for c in range(32, 0x250)]
+    texts = [f"{c} a{c} {c}{c}b. {c}, x{c}. ab{c}!? ab_{c}' b{c}\\c] d's{c}" for c in letters]
+    assert [np.frombuffer(x, "<u2").tolist() for x in ts.Encoder(PATH, "<u2").encode(texts)] == [plain(t) for t in texts]
+
+
+def test_pieces_turn_over(plain, monkeypatch):
+    monkeypatch.setattr(ts, "READY", 3)
+    encoder = ts.Encoder(PATH, "<u2")
+    for text in TEXTS * 2:
+        assert np.frombuffer(next(encoder.encode([text or ""])), "<u2").tolist() == plain(text)
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
+    table = ts.PerfectHash.of(keys)
+    assert sorted(table.slots(keys)) == list(range(len(keys)))
+    assert ts.PerfectHash.of(keys[:0]).slots(keys[:3]).tolist() == [-1] * 3
+
+
+def test_round_trip(docs, plain):
+    df = docs(*((i * 3, t) for i, t in enumerate(TEXTS)))
+    got = {r["doc_id"]: r for r in ts.tokenize(df, PATH).collect()}
+    at = 0
+    for i, text in enumerate(TEXTS):
+        ids = [*plain(text), 2]
+        r = got[i * 3]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_keyed_reads(spark, docs, plain):
+    folder, manifest = ts.write_tokens(docs(*TEXTS), PATH, shards=3)
+    fs, _ = pafs.FileSystem.from_uri(folder)
+    shards = [ts.Shard(fs, r["path"]) for r in manifest.collect()]
+    assert sum(len(s.keys) for s in shards) == len(TEXTS)
+    for shard in shards:
+        assert [shard.read(s).tolist() for s in shard.find([(k, 0) for k in shard.keys])] == [[*plain(TEXTS[int(k)]), 2] for k in shard.keys]
+        assert (shard.find([(f"no-{i}", 0) for i in range(200)]) == -1).all()
+
+
+def test_repeated_null_and_empty(docs):
+    rows = ts.tokenize(docs((5, "b"), (5, "a"), (None, "c"), (1, None)), PATH).collect()
+    assert sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in rows) == [(0, 2, None), (2, 1, 1), (3, 2, 5), (5, 2, 5)]
+    assert ts.tokenize(docs(), PATH).collect() == []
