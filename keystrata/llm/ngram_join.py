@@ -18,12 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.components import components
+from keystrata.llm.components import components, local_roots
 from keystrata.llm.shared import written
 from keystrata.llm.words import mix, shingles, word_hashes
 
 #: Steps of the coarse scale of set sizes within one factor of the threshold.
-FINE = 12
+FINE = 3
+#: Most classes in units for which they are broadcast; with more, texts and sets are shuffled to them.
+MOST_BROADCAST = 1 << 20
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -36,15 +38,16 @@ def digest(marks: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(mix(marks ^ np.uint64(0xA5A5A5A5A5A5A5A5)))], np.uint64) + np.uint64(len(marks)))[0].view(np.int64))
 
 
-def size_code(n: int, percent: int) -> int:
-    return int(log(n) / -log(min(percent, 99) / 100) * FINE)
+def _codes(n: np.ndarray, percent: int) -> np.ndarray:
+    """Set sizes on a coarse scale of FINE steps for each factor of the threshold."""
+    return np.minimum(255, np.log(n) / -log(min(percent, 99) / 100) * FINE).astype(np.uint8)
 
 
-def merge_runs(keys: np.ndarray, low: np.ndarray, high: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def merge_runs(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group entries with one key whose size ranges can meet.
 
-    Returns the order of the entries, the first entry of each run in it, and the edges from
-    every entry to the smallest name of its run.
+    Returns the order of the entries, the first entry of each run in it, and for each place in
+    the order the largest size code so far within its key.
     """
     order = np.lexsort((low, keys))
     k, lo = keys[order], low[order]
@@ -58,87 +61,112 @@ def merge_runs(keys: np.ndarray, low: np.ndarray, high: np.ndarray, names: np.nd
     return order, first, reach - lift
 
 
-#: Rows of several kinds: a document, packed postings of a bucket, an edge from class to n.
-MADE = "kind int, doc_key string, n long, class long, bucket int, payload binary"
-#: A posting: shingle, class, and the range of size codes that it stands for.
-POSTING = np.dtype([("key", "<u8"), ("name", "<i8"), ("low", "<u2"), ("high", "<u2")])
+#: What buckets of the index hold: shingle (with its bucket), class, and a range of size codes.
+POSTING = np.dtype([("key", "<u4"), ("name", "<i8"), ("low", "u1"), ("high", "u1")])
+#: What buckets of classes hold: class, set size, a shared shingle's bucket and key, and its classes.
+HELD = np.dtype([("name", "<i8"), ("n", "<u4"), ("bucket", "<u2"), ("key", "<u4"), ("classes", "<u2")])
 
 
-def _prefix_batches(rows: Iterator[pd.DataFrame], k: int, percent: int, buckets: int, hot: np.ndarray) -> Iterator[pd.DataFrame]:
+def placed(marks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each shingle and 32 more bits of it; buckets is a power of two up to 2^16."""
+    return (marks & np.uint64(buckets - 1)).astype(np.int64), (marks >> np.uint64(32)).astype(np.uint32)
+
+
+def _sets(frame: pd.DataFrame, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The class and set of each row of texts."""
+    for words in word_hashes(frame["text"]):
+        marks = shingles(words, k)
+        yield (digest(marks) if len(marks) else 0), marks
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place and the length of each run of equal values."""
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(x)))
+
+
+def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    by = np.argsort(bucket, kind="stable")
+    first, _ = _runs(bucket[by])
+    split = [np.split(c[by], first[1:]) for c in columns]
+    for i, b in enumerate(bucket[by][first]):
+        yield int(b), [c[i] for c in split]
+
+
+def _classes(rows: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for frame in rows:
-        counts, names, keys, owners, sizes, seen = [], [], [], [], [], set()
-        for words in word_hashes(frame["text"]):
-            marks = shingles(words, k)
-            n = len(marks)
-            name = digest(marks) if n else 0
-            counts.append(n)
-            names.append(name)
-            if not n or name in seen:
-                continue
-            seen.add(name)
-            take = n - least_overlap(n, percent) + 1
-            if len(hot):
-                at = np.searchsorted(hot, marks)
-                at[at == len(hot)] = 0
-                late = hot[at] == marks
-                first = marks[~late][:take]
-                if len(first) < take:
-                    first = np.concatenate([first, marks[late][: take - len(first)]])
-            else:
-                first = marks[:take]
-            keys.append(first)
-            owners.append(np.full(len(first), name, np.int64))
-            sizes.append(np.full(len(first), size_code(n, percent), np.int64))
-        out = pd.DataFrame({"kind": 0, "doc_key": frame["doc_key"], "n": counts, "class": names, "bucket": None, "payload": None})
-        yield out
-        if not keys:
-            continue
-        key, owner, code = np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes)
-        order, first, reach = merge_runs(key, code, code, owner)
-        least = np.minimum.reduceat(owner[order], first)
-        packed = np.empty(len(first), POSTING)
-        packed["key"], packed["name"], packed["low"] = key[order][first], least, code[order][first]
-        packed["high"] = reach[np.append(first[1:], len(order)) - 1]
-        yield _edges(owner[order], np.repeat(least, np.diff(np.append(first, len(order)))))
-        bucket = (mix(packed["key"]) % np.uint64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        packed, bucket = packed[by], bucket[by]
-        start = np.flatnonzero(np.diff(bucket, prepend=-1))
-        yield pd.DataFrame({
-            "kind": 1, "doc_key": None, "n": 0, "class": 0, "bucket": bucket[start],
-            "payload": [x.tobytes() for x in np.split(packed, start[1:])],
-        })
-
-
-def _edges(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    """Edges as rows of kind 2: class to n."""
-    pair = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-    return pd.DataFrame({"kind": 2, "doc_key": None, "n": pair[:, 1], "class": pair[:, 0], "bucket": None, "payload": None})
-
-
-def _bucket_edges(frame: pd.DataFrame) -> pd.DataFrame:
-    x = np.frombuffer(b"".join(frame["payload"]), POSTING)
-    order, first, _ = merge_runs(x["key"].copy(), x["low"].astype(np.int64), x["high"].astype(np.int64), x["name"])
-    name = x["name"][order]
-    least = np.minimum.reduceat(name, first)
-    e = _edges(name, np.repeat(least, np.diff(np.append(first, len(order)))))
-    return pd.DataFrame({"a": e["class"].astype("int64"), "b": e["n"].astype("int64")})
+        found = [(name, len(marks)) for name, marks in _sets(frame, k)]
+        yield pd.DataFrame({"doc_key": frame["doc_key"], "n_shingles": [n for _, n in found], "class": [c for c, _ in found]})
 
 
-def _frequent(rows: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """Shingles that several texts of a batch share, with their number."""
+def _inverted(rows: Iterator[pd.DataFrame], k: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """All shingles of the classes of a batch, by bucket: names and sizes, and each key's place among them."""
     for frame in rows:
-        sets, names = [], set()
-        for words in word_hashes(frame["text"]):
-            marks = shingles(words, k)
-            if len(marks) and (name := digest(marks)) not in names:
-                names.add(name)
-                sets.append(marks)
-        if sets:
-            ordered = np.sort(np.concatenate(sets))
-            first = np.flatnonzero(np.diff(ordered, prepend=~ordered[:1]))
-            n = np.diff(np.append(first, len(ordered)))
-            yield pd.DataFrame({"shingle": ordered[first][n > 1].view(np.int64), "n": n[n > 1]})
+        for start in range(0, len(frame), 1 << 12):
+            sets = dict(_sets(frame.iloc[start : start + (1 << 12)], k))
+            sets.pop(0, None)
+            if not sets:
+                continue
+            sizes = np.array([len(x) for x in sets.values()], np.uint32)
+            names = np.array(list(sets), np.int64)
+            bucket, key = placed(np.concatenate(list(sets.values())), buckets)
+            made = [
+                (b, names[used].tobytes(), sizes[used].tobytes(), keys.tobytes(), place.astype(np.uint16).tobytes())
+                for b, (keys, owner) in _by_bucket(bucket, key, np.repeat(np.arange(len(sets)), sizes))
+                for used, place in [np.unique(owner, return_inverse=True)]
+            ]
+            yield pd.DataFrame(made, columns=["bucket", "names", "sizes", "keys", "places"])
+
+
+def _shared(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """The shingles of a bucket that several classes hold, dealt out by class."""
+    place = [np.frombuffer(x, np.uint16) for x in frame["places"]]
+    name = np.concatenate([np.frombuffer(x, np.int64)[p] for x, p in zip(frame["names"], place)])
+    size = np.concatenate([np.frombuffer(x, np.uint32)[p] for x, p in zip(frame["sizes"], place)])
+    key = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["keys"]])
+    order = np.argsort(key, kind="stable")
+    first, n = _runs(key[order])
+    order = order[np.repeat(n > 1, n)]
+    order = order[np.lexsort((name[order], key[order]))]
+    key, name, size = key[order], name[order], size[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    key, name, size = key[once], name[once], size[once]
+    _, n = _runs(key)
+    n = np.repeat(n, n)
+    held = np.empty(int((n > 1).sum()), HELD)
+    held["name"], held["n"], held["key"] = name[n > 1], size[n > 1], key[n > 1]
+    held["bucket"], held["classes"] = frame["bucket"].iloc[0], np.minimum(n[n > 1], 65535)
+    to = (mix(held["name"].view(np.uint64) if held["name"].flags.c_contiguous else held["name"].astype(np.uint64)) & np.uint64(buckets - 1)).astype(np.int64)
+    return pd.DataFrame([(b, x.tobytes()) for b, (x,) in _by_bucket(to, held)], columns=["bucket", "payload"])
+
+
+def _prefixes(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """For the classes of a bucket, the shared shingles among the first of their order, dealt out by shingle.
+
+    Shingles in one class alone come first and can meet nothing; then those in few classes.
+    """
+    x = np.frombuffer(b"".join(frame["payload"]), HELD)
+    x = x[np.lexsort((x["key"], x["bucket"], x["classes"], x["name"]))]
+    first, shared = _runs(x["name"])
+    size = x["n"][first].astype(np.int64)
+    take = size - -(-percent * size // 100) + 1 - (size - shared)
+    rank = np.arange(len(x)) - np.repeat(first, shared)
+    x = x[rank < np.repeat(take, shared)]
+    code = _codes(x["n"], percent)
+    packed = np.empty(len(x), POSTING)
+    packed["key"], packed["name"], packed["low"], packed["high"] = x["key"], x["name"], code, code
+    return pd.DataFrame([(b, p.tobytes()) for b, (p,) in _by_bucket(x["bucket"].astype(np.int64), packed)], columns=["bucket", "payload"])
+
+
+def _meet(frame: pd.DataFrame) -> pd.DataFrame:
+    """A class that meets others in a bucket, with the smallest class it is connected with there."""
+    x = np.frombuffer(b"".join(frame["payload"]), POSTING)
+    order, first, _ = merge_runs(x["key"].copy(), x["low"].astype(np.int64), x["high"].astype(np.int64))
+    name = x["name"][order]
+    least = np.repeat(np.minimum.reduceat(name, first), np.diff(np.append(first, len(order))))
+    node, root = local_roots(name[name != least], least[name != least])
+    return pd.DataFrame({"a": node[node != root], "b": root[node != root]})
 
 
 class Occurrences:
@@ -170,7 +198,8 @@ class Occurrences:
         # The longest lists are set aside, as many as the method's estimate says; they cannot make T alone.
         aside = min(need - 1, int(need / (self.mu * log2(longest + 1) + 1))) if longest > 1 else 0
         short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-        merged = np.sort(np.concatenate([self.owner[self.first[i] : self.last[i]] for i in short]), kind="stable")
+        each = self.last[short] - self.first[short]
+        merged = np.sort(self.owner[np.repeat(self.last[short] - np.cumsum(each), each) + np.arange(each.sum())], kind="stable")
         start = np.flatnonzero(np.diff(merged, prepend=-1))
         found, count = merged[start], np.diff(np.append(start, len(merged)))
         for left, i in zip(range(len(long), 0, -1), long):
@@ -229,7 +258,7 @@ def _marks(rows: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
         yield frame.loc[[len(x) > 0 and digest(x) == c for x, c in zip(found, frame["class"])], ["unit", "class", "marks"]]
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, long_list: int = 32, most_long: int = 1 << 19, unit_shingles: int = 1 << 21) -> DataFrame:
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, unit_shingles: int = 1 << 21) -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of every document.
 
     Two documents link when their sets of k-word shingles have a Jaccard similarity of at least
@@ -238,32 +267,25 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     rows link with each other; an empty table gives no rows; further columns are ignored. A set
     held by null keys only links with equal sets only.
 
-    long_list and most_long say which shingles come last in the order (it changes the cost
-    only). A unit of more than unit_shingles is searched in blocks, each with the unit's
+    A unit of more than unit_shingles is searched in blocks, each with the unit's
     smallest class; classes left outside the largest component are then searched against
     every block, so no link is lost and no task holds more than its share.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
-    kind = source.schema["doc_key"].dataType
-    texts = source.select("text").filter("text IS NOT NULL")
-    buckets = max(16, docs.count() // 4096)
-    common = (
-        texts.mapInPandas(lambda rows: _frequent(rows, k), "shingle long, n long")
-        .groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= long_list)
-    )
-    hot = np.sort(np.array([r[0] for r in common.orderBy(F.desc("n"), "shingle").limit(most_long).select("shingle").collect()], np.int64).view(np.uint64))
-    shared_hot = spark.sparkContext.broadcast(hot)
-    made = written(
-        source.withColumn("doc_key", F.col("doc_key").cast("string")).mapInPandas(lambda rows: _prefix_batches(rows, k, percent, buckets, shared_hot.value), MADE),
-        "ngram-postings", "kind",
-    )
-    rows = made.filter("kind = 0").select(F.col("doc_key").cast(kind).alias("doc_key"), F.col("n").alias("n_shingles"), "class")
-    met = made.filter("kind = 1").select("bucket", "payload").groupBy("bucket").applyInPandas(_bucket_edges, "a long, b long")
-    units = components(met.unionByName(made.filter("kind = 2").select(F.col("class").alias("a"), F.col("n").alias("b"))))
+    buckets = 1 << min(16, max(4, (docs.count() // 4096).bit_length()))
+    kind = source.schema["doc_key"].dataType.simpleString()
+    rows = written(source.mapInPandas(lambda x: _classes(x, k), f"doc_key {kind}, n_shingles long, class long"), "ngram-classes")
+    lists = source.select("text").filter("text IS NOT NULL").mapInPandas(lambda x: _inverted(x, k, buckets), "bucket int, names binary, sizes binary, keys binary, places binary")
+    shared = lists.groupBy("bucket").applyInPandas(lambda x: _shared(x, buckets), "bucket int, payload binary")
+    first = shared.groupBy("bucket").applyInPandas(lambda x: _prefixes(x, percent), "bucket int, payload binary")
+    units = components(first.groupBy("bucket").applyInPandas(_meet, "a long, b long"))
     sizes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("doc_key").alias("doc_key"))
     members = written(units.withColumnRenamed("node", "class").withColumnRenamed("root", "unit").join(sizes, "class"), "ngram-members")
     one_each = members.select("doc_key", "class", "unit")
+    # Units and links have no more classes than this.
+    small = F.broadcast if members.count() <= MOST_BROADCAST else lambda df: df
+    one_each = small(one_each)
     sets = written(
         source.join(one_each, source["doc_key"] == one_each["doc_key"]).select("unit", "class", "text")
         .mapInPandas(lambda x: _marks(x, k), "unit long, class long, marks binary"),
@@ -272,18 +294,18 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     weight = members.groupBy("unit").agg(F.sum("n").alias("weight"), F.min("class").alias("hub"))
     blocks = F.ceil(F.col("weight") / unit_shingles).cast("int")
     total = members.agg(F.sum("n")).first()[0] or 0
-    bins = max(1, spark.sparkContext.defaultParallelism, -(-total // unit_shingles) * 2)
-    weighed = sets.join(weight.withColumn("blocks", blocks), "unit")
+    bins = max(1, spark.sparkContext.defaultParallelism, -(-total // unit_shingles) * 8)
+    weighed = sets.join(small(weight.withColumn("blocks", blocks)), "unit")
     own = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("unit"), F.lit(bins))).otherwise(F.xxhash64("unit", F.pmod(F.xxhash64("class"), F.col("blocks"))))
-    small = weighed.select("unit", "class", "marks", own.alias("task"))
+    whole = weighed.select("unit", "class", "marks", own.alias("task"))
     hubs = weighed.filter("class = hub AND blocks > 1").select("unit", "class", "marks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     hubs = hubs.select("unit", "class", "marks", F.xxhash64("unit", F.col("block").cast("long")).alias("task"))
     seek = lambda x: _unit_links(x, percent)
-    links = written(small.unionByName(hubs).withColumn("seeker", F.lit(None).cast("boolean")).groupBy("task").applyInPandas(seek, "a long, b long"), "ngram-links")
+    links = written(whole.unionByName(hubs).withColumn("seeker", F.lit(None).cast("boolean")).groupBy("task").applyInPandas(seek, "a long, b long"), "ngram-links")
     split = weighed.filter("blocks > 1").select("unit", "class", "marks", "blocks")
     if not split.isEmpty():
         links = written(links.unionByName(_outside(split, links, unit_shingles).groupBy("task").applyInPandas(seek, "a long, b long")), "ngram-links")
-    linked = components(links).withColumnRenamed("node", "class")
+    linked = small(components(links).withColumnRenamed("node", "class"))
     placed = rows.join(linked, "class", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "class")))
     least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_key").alias("component_id"))
     return placed.join(least, "root", "left").select(F.col("doc_key").alias(key), "n_shingles", F.coalesce("component_id", "doc_key").alias("component_id"))

@@ -1,0 +1,104 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from keystrata.llm import ngram_join as nj
+from keystrata.llm.components import components
+from keystrata.llm.words import PIECE, word_hashes
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(docs, k, percent):
+    sets = {}
+    for i, text in docs:
+        w = words(text)
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def of(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    names = sorted(sets)
+    for a in names:
+        for b in names:
+            common = len(sets[a] & sets[b])
+            if a < b and common and 100 * common >= percent * len(sets[a] | sets[b]) and of(a) != of(b):
+                root[max(of(a), of(b))] = min(of(a), of(b))
+    return {i: (len(sets[i]), of(i)) for i in sets}
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    out = []
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 4, 6, 12, 40, 200]))]
+        if rng.random() < 0.5:
+            base += passage
+        for _ in range(rng.choice([1, 1, 2, 5])):
+            copy = [rng.choice(vocabulary) if rng.random() < rng.choice([0, 0.01, 0.03, 0.1]) else w for w in base]
+            out.append(" ".join(copy) if rng.random() < 0.7 else "\n".join(w.upper() for w in copy))
+    return [(i * 3 + 1, t) for i, t in enumerate(out)] + [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "é É"), (1004, "é É"), (1005, "e É")]
+
+
+@pytest.mark.parametrize(("seed", "k", "percent"), [(1, 4, 85), (2, 5, 80), (3, 2, 60)])
+@pytest.mark.parametrize("unit", [1 << 21, 150])
+def test_against_brute_force(docs, seed, k, percent, unit):
+    rows = corpus(seed)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.near_classes(docs(*rows), k=k, percent=percent, unit_shingles=unit).collect()}
+    assert got == brute(rows, k, percent)
+
+
+def test_repeats_null_keys_and_empty(docs):
+    rows = nj.near_classes(docs((7, "a b c d e f"), (7, "a b c d e f"), (3, "A B C D E F"), (None, "a b c d e f"), (None, None))).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in rows) == [(0, 0, 0), (0, 2, 3), (3, 2, 3), (7, 2, 3), (7, 2, 3)]
+    assert nj.near_classes(docs()).collect() == []
+
+
+def test_divide_skip_equals_counting():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**60, 300).astype(np.uint64)
+    common = rng.integers(0, 2**60, 30).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(300) > rng.choice([0.05, 0.1, 0.5])], common, rng.integers(0, 2**60, rng.integers(1, 60)).astype(np.uint64)])) for _ in range(60)]
+    for percent in (50, 80):
+        for mu in (0.0001, 0.0085, 1.0):
+            index = nj.Occurrences(sets, percent, mu)
+            for x in sets:
+                overlap = [len(np.intersect1d(x, y)) for y in sets]
+                assert index.search(x).tolist() == [i for i, (o, y) in enumerate(zip(overlap, sets)) if 100 * o >= percent * (len(x) + len(y) - o)]
+
+
+def test_words_of_long_texts():
+    text = "Ab\u00e9 c\td " * (PIECE // 4)
+    short, long = word_hashes([None, text])
+    assert len(short) == 0 and len(long) == 3 * (PIECE // 4)
+    assert (long[:3] == next(word_hashes(["aB\u00e9\nC d"]))).all() and len(np.unique(long)) == 3
+
+
+@pytest.mark.parametrize("most_local", [1 << 21, 0])
+def test_components(spark, most_local):
+    rng = random.Random(4)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1080)] + [(5, 5), (None, 3)]
+    near = defaultdict(set)
+    for a, b in edges[:-1]:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for start in sorted(near):
+        todo = [] if start in want else [start]
+        while todo:
+            if (x := todo.pop()) not in want:
+                want[x] = start
+                todo += near[x]
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), most_local=most_local).collect()]
+    assert Counter(n for n, _ in got).most_common(1)[0][1] == 1 and dict(got) == want
+    assert components(spark.createDataFrame([], "a long, b long"), most_local=most_local).collect() == []
