@@ -13,6 +13,8 @@ from keystrata.llm.shared import written
 
 #: Centres of a subspace: a code has four bits.
 CENTRES = 16
+#: Standard deviations of the scan's error within which a candidate is still reranked.
+SLACK = 4.0
 
 
 class Quantizer:
@@ -108,14 +110,53 @@ def shortlist(scores: np.ndarray, size: int) -> np.ndarray:
     return np.nonzero(take)[1].reshape(len(scores), size)
 
 
-def exact(queries: np.ndarray, vectors: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in order of the dimensions wherever a pair stands."""
-    out = np.zeros(chosen.shape)
+def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, summed in order of the dimensions wherever a pair stands."""
+    out = np.zeros(len(queries))
     for d in range(queries.shape[1]):
-        out += queries[:, d, None] * vectors[:, d][chosen]
+        out += queries[:, d] * vectors[:, d]
     return out
 
 
+def best_pairs(queries: np.ndarray, vectors: np.ndarray, near: np.ndarray, top: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, candidate and exact score of all pairs that may be among a query's `top`.
+
+    The shortlist comes first. It shows the score that a newcomer must reach and the spread of
+    the scan's errors; every other candidate within SLACK of these spreads is reranked, too, so
+    that dense groups with like codes aren't cut in the middle.
+    """
+    chosen = shortlist(near, rerank)
+    guess = np.take_along_axis(near, chosen, 1)
+    who, at = np.nonzero(guess > -np.inf)
+    which = chosen[who, at]
+    score = exact(queries[who], vectors[which])
+    held = np.full(guess.shape, -np.inf)
+    held[who, at] = score
+    known = guess > -np.inf
+    error = np.where(known, held, 0) - np.where(known, guess, 0)
+    n = np.maximum(known.sum(1), 1)
+    slack = SLACK * np.sqrt(np.maximum((error**2).sum(1) / n - (error.sum(1) / n) ** 2, 0))
+    worst = np.partition(held, -top, axis=1)[:, -top] if held.shape[1] > top else np.full(len(held), -np.inf)
+    more = (near >= (worst - slack)[:, None]) & (near > -np.inf)
+    np.put_along_axis(more, chosen, False, 1)
+    pairs = [(who, which, score)]
+    for start in range(0, len(queries), 32):
+        a, b = np.nonzero(more[start : start + 32])
+        pairs.append((a + start, b, exact(queries[a + start], vectors[b])))
+    who, which, score = (np.concatenate(x) for x in zip(*pairs))
+    return who, which, score
+
+
+def copy_rank(vectors: np.ndarray) -> np.ndarray:
+    """How many equal vectors stand before each one."""
+    _, group = np.unique(vectors, axis=0, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    rank = np.empty(len(vectors), np.int64)
+    rank[order] = np.arange(len(vectors)) - np.repeat(first, np.diff(np.append(first, len(vectors))))
+    return rank
+
+
 def _blocks(rows: Iterator[pd.DataFrame], size: int, model: Quantizer | None) -> Iterator[pd.DataFrame]:
     """Blocks of at most size vectors as raw bytes, in order of their ids."""
     for frame in rows:
@@ -126,6 +167,7 @@ def _blocks(rows: Iterator[pd.DataFrame], size: int, model: Quantizer | None) ->
             out = {"ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()]}
             if model is not None:
                 out["codes"] = [model.packed(vectors).tobytes()]
+                out["copies"] = [copy_rank(vectors).astype("<u4").tobytes()]
             yield pd.DataFrame(out)
 
 
@@ -137,13 +179,18 @@ def _search(rows: Iterator[pd.DataFrame], model: Quantizer, top: int, rerank: in
             queries = np.frombuffer(row.queries).reshape(len(asked), -1)
             near = model.scan(queries, np.frombuffer(row.codes, np.uint8).reshape(len(ids), -1))
             near[asked[:, None] == ids] = -np.inf
-            chosen = shortlist(near, rerank)
-            score = exact(queries, vectors, chosen)
-            score[asked[:, None] == ids[chosen]] = -np.inf
-            names = ids[chosen]
-            order = np.lexsort((names, -score), axis=1)[:, :top]
-            score, names = np.take_along_axis(score, order, 1), np.take_along_axis(names, order, 1)
-            found = [[{"loss": -s, "vec_id": v} for s, v in zip(a, b) if s > -np.inf] for a, b in zip(score.tolist(), names.tolist())]
+            # Of equal vectors only the smaller ids can be among the best, so more copies than
+            # that would take places of the shortlist in vain. The query itself may be one.
+            near[:, np.frombuffer(row.copies, "<u4") > top] = -np.inf
+            who, which, score = best_pairs(queries, vectors, near, top, rerank)
+            names = ids[which]
+            order = np.lexsort((names, -score, who))
+            who, names, score = who[order], names[order], score[order]
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            keep = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who)))) < top
+            who, names, score = who[keep], names[keep].tolist(), score[keep].tolist()
+            ends = np.searchsorted(who, np.arange(len(asked) + 1)).tolist()
+            found = [[{"loss": -s, "vec_id": v} for s, v in zip(score[a:b], names[a:b])] for a, b in zip(ends, ends[1:])]
             yield pd.DataFrame({"query_id": asked, "found": found})
 
 
@@ -168,8 +215,8 @@ def nearest(vectors: DataFrame, asked: str, key: str = "vec_id", column: str = "
 
     The codes are fitted on at most `sample` vectors, chosen by hash of their id, and every
     vector is coded. Blocks of queries meet blocks of candidates by an equi-join; the tables
-    are scanned, each block's best `rerank` get exact scores on the original vectors, and the
-    blocks' best are merged in two steps. Returns query_id, rank (from 1), vec_id, score;
+    are scanned, each block's best `rerank`, and all that could still pass them, get exact scores on the original
+    vectors, and the blocks' best are merged in two steps. Returns query_id, rank (from 1), vec_id, score;
     ties go to the smaller vec_id.
 
     See usable() for rows that take no part; repeated ids count once; fewer candidates than
@@ -184,12 +231,12 @@ def nearest(vectors: DataFrame, asked: str, key: str = "vec_id", column: str = "
         return spark.createDataFrame([], shape)
     model = spark.sparkContext.broadcast(Quantizer.fit(np.stack(drawn["vector"].to_numpy())))
     groups = max(1, count // 65536, spark.sparkContext.defaultParallelism)
-    held = rows.mapInPandas(lambda x: _blocks(x, block, model.value), "ids binary, vectors binary, codes binary")
+    held = rows.mapInPandas(lambda x: _blocks(x, block, model.value), "ids binary, vectors binary, codes binary, copies binary")
     held = written(held.withColumn("block", F.xxhash64("ids")), "ann-blocks").withColumn("team", F.pmod("block", F.lit(groups)))
     queries = rows.filter(asked).coalesce(max(1, count // 65536)).mapInPandas(lambda x: _blocks(x, query_block, None), "ids binary, vectors binary")
     queries = queries.select(F.col("ids").alias("asked"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("team"))
-    met = queries.join(held, "team").select("block", "asked", "queries", "ids", "vectors", "codes")
-    best = met.select("asked", "queries", "ids", "vectors", "codes").mapInPandas(
+    met = queries.join(held, "team").select("asked", "queries", "ids", "vectors", "codes", "copies")
+    best = met.mapInPandas(
         lambda x: _search(x, model.value, top, rerank), "query_id long, found array<struct<loss: double, vec_id: long>>"
     )
     merged = lambda: F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, top).alias("found")

@@ -50,6 +50,14 @@ def test_recall(spark):
     assert sum(len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
 
 
+def test_many_copies_do_not_crowd_the_shortlist(spark):
+    rng = np.random.default_rng(7)
+    same = [float(x) for x in rng.normal(size=8).astype(np.float32)]
+    rows = [(i, same if i % 3 else [float(x) for x in (same + 0.3 * rng.normal(size=8)).astype(np.float32)]) for i in range(900)]
+    got, want = found(frame(spark, rows), top=10, rerank=128), brute(rows, 10)
+    assert sum(len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) for q in want) >= 0.95 * 10 * len(want)
+
+
 def test_few_repeated_and_empty(spark):
     rows = [(0, [1.0] * 8), (5, [2.0] * 8), (5, [2.0] * 8), (7, [1.0] * 8)]
     assert found(frame(spark, rows)) == {0: [(1, 5, 16.0), (2, 7, 8.0)], 5: [(1, 0, 16.0), (2, 7, 16.0)]}
