@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_winnowing": decontaminate.ORACLE}
+    return {"op4_url_filter": url_filter.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_ngram_jaccard": ngram_join.ORACLE, "op9_winnowing": decontaminate.ORACLE}
