@@ -29,7 +29,7 @@ from keystrata.llm.shared import new_path, written
 from keystrata.llm.words import mix
 
 #: Chunks that a worker keeps ready.
-READY = 700_000
+READY = 400_000
 #: The letters of ASCII and Latin-1, and words of them with marks behind: no letter composes with another or changes its number of letters in lower case.
 LETTER = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xb5\xba")
 WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\\[-`{-~]+)?").fullmatch
