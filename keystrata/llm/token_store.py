@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from keystrata.llm.shared import new_path, written
 from keystrata.llm.words import mix
 
-#: Chunks that a worker keeps ready.
-READY = 400_000
+#: Pieces that a worker keeps ready, in each of two halves.
+READY = 700_000
 #: The letters of ASCII and Latin-1, and words of them with marks behind: no letter composes with another or changes its number of letters in lower case.
 LETTER = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xb5\xba")
 WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\\[-`{-~]+)?").fullmatch
@@ -42,8 +42,9 @@ ROOM = 2
 class _Ready(dict):
     """Ids by piece; pieces asked for in vain are noted, and None is given."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
         super().__init__()
+        self.most = most
         self.older: dict[str, bytes] = {}
         self.new: set[str] = set()
 
@@ -57,7 +58,7 @@ class _Ready(dict):
 
     def turn(self) -> None:
         """When full, what is here becomes the older half, and the half before it goes."""
-        if len(self) > READY:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
 
@@ -72,13 +73,13 @@ class Encoder:
     written as the tokenizer's letters. Any other piece takes the tokenizer's whole way.
     """
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, ready: int | None = None):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
-        self.ready = _Ready()
+        self.ready = _Ready(READY if ready is None else ready)
         self.marks: dict[str, bytes] = {}
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = str.maketrans({c: byte_level.pre_tokenize_str(c)[0][0] for c in LETTER if not c.isascii() and c == c.lower()})
@@ -133,9 +134,9 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str, dtype: str) -> Encoder:
+def _encoder(path: str, dtype: str, ready: int) -> Encoder:
     """One for each worker process, which keeps its pieces from task to task."""
-    return Encoder(path, dtype)
+    return Encoder(path, dtype, ready)
 
 
 class PerfectHash:
@@ -255,11 +256,11 @@ class Shard:
             i = j
 
 
-def _write_shard(rows: Iterator[pd.DataFrame], folder: str, tokenizer: str, end: int, width: int) -> Iterator[pd.DataFrame]:
+def _write_shard(rows: Iterator[pd.DataFrame], folder: str, tokenizer: str, end: int, width: int, ready: int) -> Iterator[pd.DataFrame]:
     fs, base = pafs.FileSystem.from_uri(folder)
     name = f"{base}/shard-{TaskContext.get().partitionId():06d}"
     draft = f"{name}.{uuid.uuid4().hex}"
-    encoder = _encoder(tokenizer, f"<u{width}")
+    encoder = _encoder(tokenizer, f"<u{width}", ready)
     last = np.array([end], encoder.dtype).tobytes()
     keys: list[str | None] = []
     counts: list[int] = []
@@ -294,7 +295,7 @@ def _read_shards(rows: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataF
             yield pd.DataFrame(found, columns=["doc_key", "start", "n_tokens", "ids_crc32"])
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 2, shards: int | None = None, folder: str | None = None) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 2, shards: int | None = None, folder: str | None = None, ready: int = READY) -> tuple[str, DataFrame]:
     """Encode every whole text into shards by ascending key; folder and manifest are returned.
 
     The manifest has shard, path, n_docs, n_ids and before (ids in all shards before it). Null
@@ -314,7 +315,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     ordered = source.repartitionByRange(parts, "k").sortWithinPartitions("k", F.xxhash64("text"))
     made = written(
         ordered.select(F.col("k").cast("string").alias("doc_key"), "text")
-        .mapInPandas(lambda rows: _write_shard(rows, folder, tokenizer, end, width), "shard int, path string, n_docs long, n_ids long"),
+        .mapInPandas(lambda rows: _write_shard(rows, folder, tokenizer, end, width, ready), "shard int, path string, n_docs long, n_ids long"),
         "tokens-manifest",
     )
     before, rows = 0, []
@@ -330,8 +331,11 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
     return spread.mapInPandas(lambda rows: _read_shards(rows, folder), "doc_key string, start long, n_tokens long, ids_crc32 long")
 
 
-def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 2) -> DataFrame:
-    """Write the shards and give each document's place in them, as read back."""
-    folder, manifest = write_tokens(docs, tokenizer, key, text, end)
+def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end: int = 2, ready: int = READY) -> DataFrame:
+    """Write the shards and give each document's place in them, as read back.
+
+    ready: pieces that a worker keeps in each of two halves, about 200 bytes each.
+    """
+    folder, manifest = write_tokens(docs, tokenizer, key, text, end, ready=ready)
     found = read_tokens(docs.sparkSession, folder, manifest)
     return found.select(F.col("doc_key").cast(docs.schema[key].dataType).alias(key), "start", "n_tokens", "ids_crc32")
