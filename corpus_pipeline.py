@@ -44,7 +44,8 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Writes token shards; where each document lies in them."""
     import public_tokenizers
 
-    return token_store.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Workers come from the stages before and hold memory of theirs.
+    return token_store.tokenize(docs, public_tokenizers.path("word_bpe_49k.json"), ready=400_000)
 
 
 STAGES = [
