@@ -16,7 +16,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest n-grams of unseen words.
 LONGEST = 4
 #: Words that a worker keeps ready.
-READY = 400_000
+READY = 300_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -48,23 +48,24 @@ class Backoff:
     def __init__(self, tallies: pd.DataFrame, smoothing: float = 0.5):
         self.langs = sorted(tallies["lang"].unique())
         column = {lang: i for i, lang in enumerate(self.langs)}
-        self.known: list[dict[str, np.ndarray]] = []
+        self.known: list[dict[str, int]] = []
+        self.logs: list[np.ndarray] = []
         for size in range(LONGEST + 1):
             part = tallies[tallies["size"] == size]
             names = {t: i for i, t in enumerate(dict.fromkeys(part["token"]))}
             counts = np.zeros((len(names), len(self.langs)))
             np.add.at(counts, ([names[t] for t in part["token"]], [column[x] for x in part["lang"]]), part["n"])
-            logs = np.log(counts + smoothing) - np.log(counts.sum(axis=0) + smoothing * max(1, len(names)))
-            self.known.append({t: logs[i] for t, i in names.items()})
+            self.known.append(names)
+            self.logs.append(np.log(counts + smoothing) - np.log(counts.sum(axis=0) + smoothing * max(1, len(names))))
 
     def vector(self, word: str) -> np.ndarray:
         """A seen word's log frequencies; of an unseen one the mean over its longest seen n-grams."""
         seen = self.known[0].get(word)
         if seen is not None:
-            return seen
+            return self.logs[0][seen]
         for size in range(LONGEST, 0, -1):
-            table = self.known[size]
-            found = [table[g] for g in grams(word, size) if g in table]
+            table, logs = self.known[size], self.logs[size]
+            found = [logs[table[g]] for g in grams(word, size) if g in table]
             if found:
                 return sum(found) / len(found)
         return np.zeros(len(self.langs))
@@ -113,8 +114,12 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     Words and n-grams seen fewer than `least` times in one language's sample are left out.
     """
     rows = labelled.select(F.col(key).alias("doc_key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("doc_key IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_key"), "doc_key"))
-    chosen = rows.select("doc_key", "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_key").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_key"))
+    # About twice the wanted share of each language is ranked, so no task ranks all of a language.
+    shares = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumn("most", F.lit(2.0 * per_language * (1 << 20)) / F.col("n"))
+    shares = F.broadcast(shares) if shares.count() <= 1 << 16 else shares
+    drawn = rows.select("doc_key", "lang", F.xxhash64("doc_key").alias("mark")).join(shares, "lang").filter(F.pmod("mark", F.lit(1 << 20)) <= F.col("most"))
+    chosen = drawn.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_key").distinct()
     if chosen.count() <= 1 << 20:
         chosen = F.broadcast(chosen)
     tallies = (
