@@ -86,7 +86,8 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     runs = LineRuns(fanout)
     for i in reversed(range(batches)):
         runs.add(lines.filter(F.col("batch") == i))
-    repeated = runs.merged().filter(F.col("docs") >= least_docs).select("h1", "h2", "keeper")
+    # Written, so that the join below reads two plain shuffles and Spark can split a frequent line's.
+    repeated = written(runs.merged().filter(F.col("docs") >= least_docs).select("h1", "h2", "keeper"), "lines-repeated")
     gone = (
         lines.join(repeated, ["h1", "h2"]).filter("doc_key <> keeper")
         .groupBy("doc_key", "content").agg(F.collect_set("pos").alias("gone"))
