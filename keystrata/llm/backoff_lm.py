@@ -137,9 +137,10 @@ def _batches(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame,
         for at in range(0, len(frame), BATCH):
             part = frame.iloc[at : at + BATCH]
             words = [w & WORD for w in word_hashes(part["text"])]
-            flat = np.concatenate(words)
+            sizes, flat = np.array([len(w) for w in words], np.int64), np.concatenate(words)
+            del words
             flat[flat <= START] += np.uint64(2)
-            yield TaskContext.get().partitionId() << 24 | n, part, flat, np.array([len(w) for w in words], np.int64)
+            yield TaskContext.get().partitionId() << 24 | n, part, flat, sizes
             n += 1
 
 
@@ -192,10 +193,12 @@ def _pairs(rows: Iterator[pd.DataFrame], parts: int, frequent: Frequent) -> Iter
         second = np.append(flat[1:], END)
         second[ends - 1] = END
         owner = np.arange(len(n))[n > 0]
-        docs = np.concatenate([np.repeat(np.arange(len(n)), n), owner]).astype("<u2")
+        docs = np.concatenate([np.repeat(np.arange(len(n), dtype="<u2"), n), owner.astype("<u2")])
         first = np.concatenate([flat, flat[ends - n[n > 0]]])
+        del flat
         second = np.concatenate([second, np.full(len(owner), START)])
-        to = (np.where(frequent.holds(first), mix(first * np.uint64(3) + second), first) & np.uint64(parts - 1)).astype("<u2")
+        to, often = (first & np.uint64(parts - 1)).astype("<u2"), frequent.holds(first)
+        to[often] = (mix(first[often] * np.uint64(3) + second[often]) & np.uint64(parts - 1)).astype("<u2")
         order = np.lexsort((second, first, to))
         first, second, docs, to = first[order], second[order], docs[order], to[order]
         pair = _runs(to, first, second)
