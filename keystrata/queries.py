@@ -23,6 +23,8 @@ RUN_ROWS, TRIGGER, BASE, MULTIPLIER = 256, 4, 4096, 10
 
 #: newest(t): one row a key of a CTE t, tombstones included.
 NEWEST = "SELECT k, seq, v, deleted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM {0}) WHERE rn = 1"
+#: Half of the largest seq, for snapshots and floors that grow with the log; 0 in an empty one.
+HALF = "(SELECT coalesce(max(seq), 0) // 2 FROM events_log)"
 RUNS = f"SELECT (seq - 1) // {RUN_ROWS} table_id, ((seq - 1) // {RUN_ROWS}) % 3 level, min(k) head_key, max(k) tail_key, max(seq) max_seq, count(*) n_rows, CAST(sum(length(k) + coalesce(octet_length(encode(v)), 0)) AS bigint) size FROM events_log GROUP BY ALL"
 
 
@@ -44,6 +46,10 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.run_stats(v.withColumn("level", (F.col("table_id") % 3).cast("int")), "table_id", "level")
 
 
+def _half(v: DataFrame) -> int:
+    return (v.agg(F.max("seq")).first()[0] or 0) // 2
+
+
 def _text(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("string") for n in names})
 
@@ -65,6 +71,13 @@ def multi_get(spark, sf_dir):
     return readable(reads.multi_get(fx.events_log(spark, sf_dir), asked))
 
 
+@query("SELECT a.k, n.v, n.k IS NOT NULL found FROM (SELECT printf('user%06d', c_custkey) k FROM customer) a LEFT JOIN (SELECT * FROM n WHERE NOT deleted) n USING (k)", "events_log", n=NEWEST.format("events_log"))
+def multi_get_all(spark, sf_dir):
+    """Every customer's key."""
+    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.format_string("user%06d", "c_custkey").cast("binary").alias("user_key"))
+    return readable(reads.multi_get(fx.events_log(spark, sf_dir), asked))
+
+
 @query(f"SELECT k, v FROM n WHERE k >= '{LOW}' AND k < '{HIGH}' AND NOT deleted", "events_log", n=NEWEST.format("events_log"))
 def scan_range(spark, sf_dir):
     return readable(reads.scan(fx.events_log(spark, sf_dir), LOW, HIGH))
@@ -127,6 +140,14 @@ def merge_precedence(spark, sf_dir):
     return readable(merge.merge_precedence(reads.newest_per_key(v.filter(f"seq > {MID} AND seq % 3 = 0")), reads.newest_per_key(v.filter(f"seq <= {MID}"))))
 
 
+@query("SELECT * FROM hi UNION ALL SELECT * FROM lo WHERE k NOT IN (SELECT k FROM hi)", "events_log", a=f"SELECT * FROM events_log WHERE seq <= {HALF}", b=f"SELECT * FROM events_log WHERE seq > {HALF}", lo=NEWEST.format("a"), hi=NEWEST.format("b"))
+def merge_precedence_halves(spark, sf_dir):
+    """The whole late half of the log over the whole early half."""
+    v = fx.events_log(spark, sf_dir)
+    half = _half(v)
+    return readable(merge.merge_precedence(reads.newest_per_key(v.filter(f"seq > {half}")), reads.newest_per_key(v.filter(f"seq <= {half}"))))
+
+
 @query("SELECT k, seq, v FROM n WHERE NOT deleted", "events_log", n=NEWEST.format("events_log"))
 def three_source_scan(spark, sf_dir):
     v = fx.events_log(spark, sf_dir)
@@ -289,6 +310,14 @@ def floor_block_lookup(spark, sf_dir):
     return readable(tables.floor_block(index, keys))
 
 
+@query("SELECT o.k, coalesce(i.block, (SELECT min(block) FROM i)) block FROM o ASOF LEFT JOIN i ON o.k >= i.first_key", o="SELECT printf('key%013d', o_orderkey) k FROM orders", i="SELECT printf('key%013d', o_orderkey) first_key, o_orderkey // 64 block FROM orders WHERE o_orderkey % 64 = 5")
+def floor_block_lookup_all(spark, sf_dir):
+    """Every order's key, over all blocks."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    index = o.filter("o_orderkey % 64 = 5").select(F.format_string("key%013d", "o_orderkey").cast("binary").alias("first_key"), F.expr("o_orderkey div 64").alias("block"))
+    return readable(tables.floor_block(index, o.select(F.format_string("key%013d", "o_orderkey").cast("binary").alias("user_key"))))
+
+
 @query("SELECT table_id, n_rows FROM r WHERE table_id % 3 <> 0 UNION ALL SELECT table_id + 1000, n_rows FROM r WHERE table_id % 3 = 0 AND (table_id + 1000) % 3 <> 0", "events_log", r=RUNS)
 def apply_edits(spark, sf_dir):
     runs = _runs(spark, sf_dir).select("table_id", "n_rows")
