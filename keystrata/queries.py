@@ -98,6 +98,12 @@ def snapshot_as_of(spark, sf_dir):
     return readable(reads.snapshot(fx.events_log(spark, sf_dir), MID))
 
 
+@query("SELECT k, seq, v FROM n WHERE NOT deleted", "events_log", b=f"SELECT * FROM events_log WHERE seq <= {HALF}", n=NEWEST.format("b"))
+def snapshot_as_of_half(spark, sf_dir):
+    v = fx.events_log(spark, sf_dir)
+    return readable(reads.snapshot(v, _half(v)))
+
+
 @query("SELECT count(*) n FROM events_log WHERE seq <= 0", "events_log")
 def snapshot_before_any(spark, sf_dir):
     return reads.snapshot(fx.events_log(spark, sf_dir), 0).agg(F.count("*").alias("n"))
@@ -108,6 +114,12 @@ def newest_including_tombstones(spark, sf_dir):
     return readable(reads.newest_per_key(reads.as_of(fx.events_log(spark, sf_dir), MID)))
 
 
+@query("SELECT * FROM n", "events_log", b=f"SELECT * FROM events_log WHERE seq <= {HALF}", n=NEWEST.format("b"))
+def newest_including_tombstones_half(spark, sf_dir):
+    v = fx.events_log(spark, sf_dir)
+    return readable(reads.newest_per_key(reads.as_of(v, _half(v))))
+
+
 @query("SELECT k, seq, v FROM n WHERE NOT deleted", "events_log", n=NEWEST.format("events_log"))
 def live_snapshot(spark, sf_dir):
     return readable(reads.snapshot(fx.events_log(spark, sf_dir)))
@@ -165,6 +177,13 @@ def tx_overlay_read(spark, sf_dir):
     return readable(merge.overlay(reads.snapshot(fx.events_log(spark, sf_dir), MID), own))
 
 
+@query("SELECT k, v FROM f WHERE NOT deleted UNION ALL SELECT k, v FROM n WHERE NOT deleted AND k NOT IN (SELECT k FROM f)", "events_log", "tx_log", b=f"SELECT * FROM events_log WHERE seq <= {HALF}", n=NEWEST.format("b"), f="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord DESC) rn FROM tx_log WHERE seq = 60) WHERE rn = 1")
+def tx_overlay_read_half(spark, sf_dir):
+    v = fx.events_log(spark, sf_dir)
+    own = merge.fold_write_set(fx.tx_log(spark, sf_dir).filter("seq = 60"))
+    return readable(merge.overlay(reads.snapshot(v, _half(v)), own))
+
+
 @query("SELECT DISTINCT f.k FROM f JOIN events_log e ON e.k = f.k AND e.seq > 590", "events_log", "tx_log", f="SELECT DISTINCT k FROM tx_log WHERE seq = 60")
 def write_set_conflicts(spark, sf_dir):
     own = merge.fold_write_set(fx.tx_log(spark, sf_dir).filter("seq = 60"))
@@ -192,7 +211,7 @@ def version_validity(spark, sf_dir):
     return readable(reads.validity(fx.events_log(spark, sf_dir)).select("user_key", "seq", "until_seq"))
 
 
-def _gc_sql(floor: int, drop: bool = False) -> str:
+def _gc_sql(floor: int | str, drop: bool = False) -> str:
     kept = " AND NOT deleted" if drop else ""
     return f"SELECT k, seq, v, deleted FROM events_log WHERE seq > {floor} UNION ALL SELECT k, seq, v, deleted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM events_log WHERE seq <= {floor}) WHERE rn = 1{kept}"
 
@@ -202,6 +221,12 @@ def gc_floor_mid(spark, sf_dir):
     return readable(mvcc.gc_versions(fx.events_log(spark, sf_dir), MID))
 
 
+@query(_gc_sql(HALF), "events_log")
+def gc_floor_half(spark, sf_dir):
+    v = fx.events_log(spark, sf_dir)
+    return readable(mvcc.gc_versions(v, _half(v)))
+
+
 @query(_gc_sql(FAR), "events_log")
 def gc_floor_max(spark, sf_dir):
     return readable(mvcc.gc_versions(fx.events_log(spark, sf_dir), FAR))
@@ -217,14 +242,29 @@ def gc_drop_tombstones_bottom(spark, sf_dir):
     return readable(mvcc.gc_versions(fx.events_log(spark, sf_dir), MID, drop_tombstones=True))
 
 
-@query("SELECT (SELECT count(*) FROM events_log) before, (SELECT count(*) FROM g) after, (SELECT count(*) FROM events_log) - (SELECT count(*) FROM g) reclaimed", "events_log", g=_gc_sql(MID, True))
-def gc_reclaimed_stats(spark, sf_dir):
+@query(_gc_sql(HALF, True), "events_log")
+def gc_drop_tombstones_half(spark, sf_dir):
     v = fx.events_log(spark, sf_dir)
-    after = mvcc.gc_versions(v, MID, drop_tombstones=True).select(F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b"))
+    return readable(mvcc.gc_versions(v, _half(v), drop_tombstones=True))
+
+
+def _reclaimed(v: DataFrame, floor: int) -> DataFrame:
+    after = mvcc.gc_versions(v, floor, drop_tombstones=True).select(F.lit(0).cast("long").alias("a"), F.lit(1).cast("long").alias("b"))
     both = after.unionByName(v.select(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))).agg(F.sum("a").alias("before"), F.sum("b").alias("after"))
     return both.withColumn("reclaimed", F.col("before") - F.col("after"))
 
 
+@query("SELECT (SELECT count(*) FROM events_log) before, (SELECT count(*) FROM g) after, (SELECT count(*) FROM events_log) - (SELECT count(*) FROM g) reclaimed", "events_log", g=_gc_sql(MID, True))
+def gc_reclaimed_stats(spark, sf_dir):
+    return _reclaimed(fx.events_log(spark, sf_dir), MID)
+
+
+@query("SELECT (SELECT count(*) FROM events_log) before, (SELECT count(*) FROM g) after, (SELECT count(*) FROM events_log) - (SELECT count(*) FROM g) reclaimed", "events_log", g=_gc_sql(HALF, True))
+def gc_reclaimed_half(spark, sf_dir):
+    v = fx.events_log(spark, sf_dir)
+    return _reclaimed(v, _half(v))
+
+
 @query("SELECT least(coalesce(min(event_id + 1), 900), 900) floor FROM events WHERE event_id % 97 = 13", )
 def gc_floor_of_readers(spark, sf_dir):
     active = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 97 = 13").select((F.col("event_id") + 1).alias("snapshot"))
@@ -391,6 +431,14 @@ def changes_between(spark, sf_dir):
     return readable(reads.changes_between(fx.events_log(spark, sf_dir), 200, 500))
 
 
+@query("SELECT * FROM n", "events_log", b=f"SELECT * FROM events_log WHERE seq > {HALF} // 2 AND seq <= {HALF}", n=NEWEST.format("b"))
+def changes_between_half(spark, sf_dir):
+    """The second quarter of the log."""
+    v = fx.events_log(spark, sf_dir)
+    half = _half(v)
+    return readable(reads.changes_between(v, half // 2, half))
+
+
 @query("SELECT k, seq, v, deleted FROM lineitem_log", "lineitem_log")
 def ordered_dump(spark, sf_dir):
     return readable(reads.ordered_dump(fx.lineitem_log(spark, sf_dir)))

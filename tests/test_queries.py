@@ -82,3 +82,15 @@ def test_multi_get_of_every_customer(spark, larger):
 
 def test_merge_precedence_of_both_halves(spark, larger):
     assert len(whole(spark, larger, "merge_precedence_halves")) == larger[1].execute("SELECT count(DISTINCT user_id) FROM events").fetchone()[0]
+
+
+@pytest.mark.parametrize("name", ["snapshot_as_of_half", "newest_including_tombstones_half", "tx_overlay_read_half", "changes_between_half", "gc_floor_half", "gc_drop_tombstones_half", "gc_reclaimed_half"])
+def test_halves_grow_with_the_log(spark, larger, name):
+    """At ten times the size they read half the log, not its first 500 versions."""
+    rows = whole(spark, larger, name)
+    if name == "gc_reclaimed_half":
+        assert rows[0][0] == 10_000 and rows[0][2] > 4_500
+    elif name.startswith("gc_"):
+        assert len(rows) < 5_500
+    elif name != "tx_overlay_read_half":
+        assert 500 < max(r[1] for r in rows) <= 5_000
