@@ -96,7 +96,7 @@ def _by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int,
 def _classes(rows: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for frame in rows:
         found = [(name, len(marks)) for name, marks in _sets(frame, k)]
-        yield pd.DataFrame({"doc_key": frame["doc_key"], "n_shingles": [n for _, n in found], "class": [c for c, _ in found]})
+        yield pd.DataFrame({"doc_key": frame["doc_key"], "content": frame["content"], "n_shingles": [n for _, n in found], "class": [c for c, _ in found]})
 
 
 def _inverted(rows: Iterator[pd.DataFrame], k: int, buckets: int) -> Iterator[pd.DataFrame]:
@@ -251,11 +251,16 @@ def _unit_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def _marks(rows: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    done: set[int] = set()
     for frame in rows:
+        # Equal rows come together; one of them is enough.
+        frame = frame.loc[~frame["class"].isin(done)].drop_duplicates(["class", "text"])
         found = [shingles(w, k) for w in word_hashes(frame["text"])]
         frame["marks"] = [x.tobytes() for x in found]
-        # A key may stand on several rows; only the row whose set is the class's counts.
-        yield frame.loc[[len(x) > 0 and digest(x) == c for x, c in zip(found, frame["class"])], ["unit", "class", "marks"]]
+        # Two texts may have one content hash; only the row whose set is the class's counts.
+        frame = frame.loc[[len(x) > 0 and digest(x) == c for x, c in zip(found, frame["class"])], ["unit", "class", "marks"]].drop_duplicates("class")
+        done.update(frame["class"])
+        yield frame
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, unit_shingles: int = 1 << 21) -> DataFrame:
@@ -264,30 +269,30 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     Two documents link when their sets of k-word shingles have a Jaccard similarity of at least
     percent / 100; shorter texts are one shingle. Words are cut at ASCII white space and A-Z
     lower-cased. Null, empty and blank texts have no shingles and link with nothing; repeated
-    rows link with each other; an empty table gives no rows; further columns are ignored. A set
-    held by null keys only links with equal sets only.
+    rows link with each other; an empty table gives no rows; further columns are ignored. Rows
+    with a null key are searched like all others; a component of such rows alone has a null id.
 
     A unit of more than unit_shingles is searched in blocks, each with the unit's
     smallest class; classes left outside the largest component are then searched against
     every block, so no link is lost and no task holds more than its share.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
+    source = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("content"))
     buckets = 1 << min(16, max(4, (docs.count() // 4096).bit_length()))
     kind = source.schema["doc_key"].dataType.simpleString()
-    rows = written(source.mapInPandas(lambda x: _classes(x, k), f"doc_key {kind}, n_shingles long, class long"), "ngram-classes")
+    rows = written(source.mapInPandas(lambda x: _classes(x, k), f"doc_key {kind}, content long, n_shingles long, class long"), "ngram-classes")
     lists = source.select("text").filter("text IS NOT NULL").mapInPandas(lambda x: _inverted(x, k, buckets), "bucket int, names binary, sizes binary, keys binary, places binary")
     shared = lists.groupBy("bucket").applyInPandas(lambda x: _shared(x, buckets), "bucket int, payload binary")
     first = shared.groupBy("bucket").applyInPandas(lambda x: _prefixes(x, percent), "bucket int, payload binary")
     units = components(first.groupBy("bucket").applyInPandas(_meet, "a long, b long"))
-    sizes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min("doc_key").alias("doc_key"))
+    sizes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min(F.struct(F.col("doc_key").isNull().alias("none"), "doc_key", "content")).alias("least"))
     members = written(units.withColumnRenamed("node", "class").withColumnRenamed("root", "unit").join(sizes, "class"), "ngram-members")
-    one_each = members.select("doc_key", "class", "unit")
+    one_each = members.select("least.doc_key", "least.content", "class", "unit")
     # Units and links have no more classes than this.
     small = F.broadcast if members.count() <= MOST_BROADCAST else lambda df: df
     one_each = small(one_each)
     sets = written(
-        source.join(one_each, source["doc_key"] == one_each["doc_key"]).select("unit", "class", "text")
+        source.join(one_each, source["doc_key"].eqNullSafe(one_each["doc_key"]) & (source["content"] == one_each["content"])).select("unit", "class", "text")
         .mapInPandas(lambda x: _marks(x, k), "unit long, class long, marks binary"),
         "ngram-sets",
     )

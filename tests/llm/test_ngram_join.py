@@ -64,6 +64,28 @@ def test_repeats_null_keys_and_empty(docs):
     assert nj.near_classes(docs()).collect() == []
 
 
+@pytest.mark.parametrize("unit", [1 << 21, 20])
+def test_null_keys_are_searched(docs, unit):
+    """Rows with null keys are near copies of each other and of keyed rows, and bridge keyed rows."""
+    base = [f"w{i}" for i in range(60)]
+    far = [f"v{i}" for i in range(60)]
+    text = lambda words, *changed: " ".join("x" if i in changed else w for i, w in enumerate(words))
+    rows = [(5, text(base)), (None, text(base, 0)), (9, text(base, 0, 59)), (None, text(far)), (None, text(far, 0)), (None, text(far, 0, 59)), (20, text([f"u{i}" for i in range(60)]))]
+    assert brute([(i, t) for i, (_, t) in enumerate(rows)], 5, 96) == {i: (56, r) for i, r in enumerate([0, 0, 0, 3, 3, 3, 6])}
+    assert brute([rows[0], rows[2]], 5, 96)[9][1] == 9
+    got = nj.near_classes(docs(*rows), k=5, percent=96, unit_shingles=unit).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0)] * 3 + [(0, 5), (5, 5), (9, 5), (20, 20)]
+
+
+def test_representative_of_a_hot_key(docs):
+    """Rows of one key, null or not, with equal and with near texts."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join(["x", *base[1:]])
+    rows = [(None, " ".join(base))] * 40 + [(None, near)] * 40 + [(1, "other words of one key")] * 3 + [(1, near)]
+    got = nj.near_classes(docs(*rows), k=5, percent=90).collect()
+    assert len(got) == 84 and {r["component_id"] for r in got} == {1}
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**60, 300).astype(np.uint64)
