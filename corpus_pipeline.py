@@ -9,35 +9,51 @@ from keystrata.llm import decontaminate, language, mixing, ngram_join, token_sto
 from keystrata.llm.shared import table, written
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+#: Each row's own id within a stage; stages drop rows by it, since a doc_id may be null or stand on many texts.
+ROW = "stage_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW, written so that it stays the same each time it is read."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage-rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return rows.join(gone.select(ROW), ROW, "left_anti").drop(ROW)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language: null, or without a letter."""
-    found = language.predict(docs, language.fit(docs))
-    return _without(docs, found.filter(F.col("lang_pred") == language.UNDETERMINED))
+    rows = _numbered(docs)
+    found = language.predict(rows, language.fit(rows), key=ROW)
+    return _without(rows, found.filter(F.col("lang_pred") == language.UNDETERMINED))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies, and one row of it."""
-    found = written(ngram_join.near_classes(docs, k=5, percent=80), "near-copies")
-    kept = _without(docs, found.filter("component_id <> doc_id"))
-    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    return _without(kept, twice).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    """Keeps the row with the smallest doc_id of each group of near copies, a null one only if there is no other.
+
+    Texts without shingles are copies of each other if doc_id and text are equal.
+    """
+    rows = _numbered(docs)
+    found = ngram_join.near_classes(rows, key=ROW, k=5, percent=80)
+    blank = lambda c: F.when(F.col("n_shingles") == 0, F.col(c))
+    group = [F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"), blank("doc_id").alias("blank_id"), blank("text").alias("blank_text")]
+    found = written(found.join(rows.select(ROW, "doc_id", F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).alias("text")), ROW).select(ROW, "doc_id", *group), "near-copies")
+    first = found.groupBy("component", "blank_id", "blank_text").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("least"))
+    return _without(rows, found.join(first.select(f"least.{ROW}"), ROW, "left_anti"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a full window of a benchmark item, or with two items that are shorter."""
-    found = decontaminate.benchmark_hits(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter((F.size("full_items") > 0) | (F.size("items") > 1)))
+    rows = _numbered(docs)
+    found = decontaminate.benchmark_hits(rows, table(spark, sf_dir, "benchmark"), key=ROW)
+    return _without(rows, found.filter((F.size("full_items") > 0) | (F.size("items") > 1)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the calibrated sample takes."""
-    return _without(docs, mixing.mix(docs).filter(~F.col("kept")))
+    rows = _numbered(docs)
+    return _without(rows, mixing.mix(rows, row=ROW).filter(~F.col("kept")))
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,26 @@ def test_empty_documents(spark, folder):
     docs = spark.read.parquet(f"{path}/documents.parquet").filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, path).count() == 0
+
+
+def test_rows_are_dropped_by_row(spark, folder, docs):
+    """Neither a null doc_id nor one on many texts shields a row or drops its neighbours."""
+    path, _, items = folder
+    base = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100, 160)]
+    one, near, other, third = " ".join(base), " ".join(["new", *base[1:]]), " ".join(reversed(base)), " ".join(base[::2])
+    left = lambda stage, *rows: sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs(*((i, x, "en", "a") for i, x in rows)), path).collect()), key=str)
+    want = lambda *rows: sorted(rows, key=str)
+    for i in (None, 7):
+        assert left(corpus_pipeline.identify_language, (i, None), (i, "12 34"), (i, one), (i, other), (3, third)) == want((i, one), (i, other), (3, third))
+        assert left(corpus_pipeline.drop_near_copies, (i, one), (i, one), (9, near), (i, other), (i, third), (i, third), (i, " "), (i, " "), (i, None), (i, None)) == want(
+            (i or 9, one if i else near), (i, other), (i, third), (i, " "), (i, None))
+        assert left(corpus_pipeline.drop_benchmark, (i, items[0][1]), (i, one), (i, other)) == want((i, one), (i, other))
+    assert len(left(corpus_pipeline.drop_near_copies, (None, one), (None, near), (None, one))) == 1
+
+
+def test_mixing_draws_by_row(spark, folder, docs):
+    path, _, _ = folder
+    rows = [(i, f"text {'long ' * (n % 7)}{n}", "en" if n % 3 else "de", "a" if n % 5 else "b") for n in range(300) for i in (None, 7)]
+    kept = corpus_pipeline.mix_sources(spark, docs(*rows), path).groupBy("doc_id", "source", "lang").count().collect()
+    held = {(i, s, x): sum(1 for r in rows if (r[0], r[3], r[2]) == (i, s, x)) for i, _, x, s in rows}
+    assert {r["doc_id"] for r in kept} == {None, 7} and any(0 < r["count"] < held[r["doc_id"], r["source"], r["lang"]] for r in kept)
