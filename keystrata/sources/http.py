@@ -14,9 +14,17 @@ def _text(value: bytes | None) -> str | None:
     return None if value is None else value.decode()
 
 
+def _scan(s: Store, x: dict) -> list[list[str | None]]:
+    """All live rows in [from, to); fewer only if the client sets a limit."""
+    found = s.scan(x["from"].encode(), x["to"].encode())
+    if x.get("limit") is not None:
+        found = found.limit(x["limit"])
+    return [[_text(bytes(r["user_key"])), _text(bytes(r["value"]))] for r in found.toLocalIterator()]
+
+
 ROUTES = {
     "/get": lambda s, x: _text(s.get(x["key"].encode())),
-    "/scan": lambda s, x: [[_text(bytes(r["user_key"])), _text(bytes(r["value"]))] for r in s.scan(x["from"].encode(), x["to"].encode()).limit(x.get("limit", 10_000)).collect()],
+    "/scan": _scan,
     "/put": lambda s, x: s.put(x["key"].encode(), x["value"].encode()),
     "/delete": lambda s, x: s.delete(x["key"].encode()),
     "/cas": lambda s, x: s.compare_and_set(x["key"].encode(), None if x["old"] is None else x["old"].encode(), x["new"].encode()),
