@@ -23,10 +23,13 @@ def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language: null, or without a letter."""
+    """Drops null texts and those without a letter, and fills a null lang; with no language to fit, lang stays."""
     rows = _numbered(docs)
-    found = language.predict(rows, language.fit(rows), key=ROW)
-    return _without(rows, found.filter(F.col("lang_pred") == language.UNDETERMINED))
+    model = language.fit(rows)
+    if not model.langs:
+        return _without(rows, language.letterless(rows, key=ROW))
+    found = language.predict(rows, model, key=ROW).filter(F.col("lang_pred") != language.UNDETERMINED)
+    return rows.join(found, ROW).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

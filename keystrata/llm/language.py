@@ -144,6 +144,18 @@ def predict(docs: DataFrame, model: Backoff, key: str = "doc_id", text: str = "t
     return out.withColumnRenamed("doc_key", key)
 
 
+def letterless(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The keys of null texts and of texts without a letter, whatever the languages."""
+
+    def found(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            yield frame.loc[[not any(c.isalpha() for c in x or "") for x in frame["text"]], ["doc_key"]]
+
+    source = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
+    kind = source.schema["doc_key"].dataType.simpleString()
+    return source.mapInPandas(found, f"doc_key {kind}").withColumnRenamed("doc_key", key)
+
+
 def held_out(key: str = "doc_id"):
     """True for keys whose crc32, as text, leaves 2 when divided by 4; null keys are not held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))

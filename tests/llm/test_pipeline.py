@@ -88,3 +88,11 @@ def test_mixing_draws_by_row(spark, folder, docs):
     kept = corpus_pipeline.mix_sources(spark, docs(*rows), path).groupBy("doc_id", "source", "lang").count().collect()
     held = {(i, s, x): sum(1 for r in rows if (r[0], r[3], r[2]) == (i, s, x)) for i, _, x, s in rows}
     assert {r["doc_id"] for r in kept} == {None, 7} and any(0 < r["count"] < held[r["doc_id"], r["source"], r["lang"]] for r in kept)
+
+
+def test_language_without_labels_and_filled(spark, folder, docs):
+    path, _, _ = folder
+    got = lambda *rows: sorted((r["doc_id"], r["lang"]) for r in corpus_pipeline.identify_language(spark, docs(*rows), path).collect())
+    assert got((1, "words but no label"), (2, "12 34"), (3, None)) == [(1, None)]
+    de, en = "der fluss und der berg", "the river and the hill"
+    assert got(*((i, de if i % 2 else en, "de" if i % 2 else "en") for i in range(6)), (6, "der berg"), (7, "the hill"), (8, "12", "en"))[6:] == [(6, "de"), (7, "en")]
