@@ -23,26 +23,37 @@ class StoreConfig:
     rotation_bytes: int = 16 * MIB
     rotation_edits: int = 10_000
     auto_compact: bool = True
+    #: Flushes and compactions in threads of their own; without them, writers do them in line.
+    workers: bool = True
+    #: Sealed memtables that may wait for a flush before writers wait, too.
+    sealed_limit: int = 2
+    #: How long the first of a group of writers waits for others, in milliseconds.
+    sync_window_ms: int = 0
+    #: Seqs below the newest that compaction leaves readable, and bytes of a row group.
+    history_seqs: int = 0
+    block_bytes: int = MIB
+    #: Decoded blocks of runs that point reads keep in the driver.
+    cache_bytes: int = 256 * MIB
+    #: Target size of compacted runs and capacity of level 1; from the settings above where None.
+    run_bytes: int | None = None
+    l1_bytes: int | None = None
 
     def __post_init__(self) -> None:
+        if self.run_bytes is None:
+            object.__setattr__(self, "run_bytes", self.memtable_bytes)
+        if self.l1_bytes is None:
+            object.__setattr__(self, "l1_bytes", self.memtable_bytes * self.l0_trigger)
         for name in ("runs_dir", "log_dir"):
             if not getattr(self, name):
                 raise ValueError(f"{name} must be given")
         for f in fields(self):
             value = getattr(self, f.name)
-            if f.type == "int" and (not isinstance(value, int) or value <= 0):
-                raise ValueError(f"{f.name} must be a positive integer")
+            least = 0 if f.name in ("sync_window_ms", "history_seqs") else 1
+            if f.type.startswith("int") and (not isinstance(value, int) or value < least):
+                raise ValueError(f"{f.name} must be an integer of at least {least}")
         if self.l0_stall <= self.l0_trigger:
             raise ValueError("l0_stall must be above l0_trigger")
 
-    @property
-    def run_bytes(self) -> int:
-        return self.memtable_bytes
-
-    @property
-    def l1_bytes(self) -> int:
-        return self.memtable_bytes * self.l0_trigger
-
     @classmethod
     def load(cls, path: str) -> StoreConfig:
         """From a JSON file, or a YAML one where a YAML library is installed."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 
 class StoreError(Exception):
     retriable = False
@@ -38,7 +40,19 @@ class DirectoryLocked(StoreError):
 
 
 class Corrupt(StoreError):
-    """A checksum or a format doesn't hold."""
+    """A checksum or a format doesn't hold. before: what was read up to the damage."""
+
+    def __init__(self, message: str, before: Sequence[object] = ()):
+        super().__init__(message)
+        self.before = list(before)
+
+
+class SnapshotCollected(StoreError):
+    """The snapshot lies below what compaction keeps."""
+
+    def __init__(self, seq: int, floor: int):
+        super().__init__(f"versions below {floor} were collected, {seq} can't be read")
+        self.seq, self.floor = seq, floor
 
 
 class UnsupportedVersion(StoreError):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.operators.reads import latest_seq, newest_per_key, snapshot
+from keystrata.operators.reads import latest_seq, snapshot
 
 
 def union_all(*sources: DataFrame) -> DataFrame:
@@ -49,7 +49,3 @@ def apply_batch(held: DataFrame, batch: DataFrame) -> DataFrame:
     w = Window.partitionBy("user_key", "seq").orderBy(F.desc("arrival"))
     both = held.withColumn("arrival", F.lit(0)).unionByName(batch.withColumn("arrival", F.lit(1)))
     return both.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", "arrival")
-
-
-def compacted_runs(*runs: DataFrame) -> DataFrame:
-    return newest_per_key(union_all(*runs))

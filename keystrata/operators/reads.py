@@ -81,6 +81,15 @@ def version_counts(v: DataFrame) -> DataFrame:
     return v.groupBy("user_key").agg(F.count("*").alias("versions"))
 
 
+def ranked(v: DataFrame) -> DataFrame:
+    """Each version with its rank in its key, from 1 for the newest.
+
+    A key's versions meet in one task; a read that needs only the newest takes newest_per_key().
+    """
+    w = Window.partitionBy("user_key").orderBy(F.desc("seq"))
+    return v.withColumn("rank", F.row_number().over(w).cast("long"))
+
+
 def validity(v: DataFrame) -> DataFrame:
     """Each version with the seq that ends it (null: still the newest)."""
     w = Window.partitionBy("user_key").orderBy("seq")

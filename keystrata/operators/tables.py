@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions import entry_bytes, level_capacity
 from keystrata.schema import to_binary
+from keystrata.storage import written
 
-#: Most cut keys that spread a range or floor join.
+#: Most cut keys that spread a range join.
 MOST_CUTS = 255
+#: Most first keys that a floor join broadcasts.
+MOST_LOCAL = 1 << 18
 
 
 def run_stats(v: DataFrame, *by: str) -> DataFrame:
-    """Key range, largest seq, rows and bytes of each run."""
+    """Key range, largest and least seq, rows and bytes of each run."""
     return v.groupBy(*by).agg(
-        F.min("user_key").alias("head_key"), F.max("user_key").alias("tail_key"), F.max("seq").alias("max_seq"),
+        F.min("user_key").alias("head_key"), F.max("user_key").alias("tail_key"), F.max("seq").alias("max_seq"), F.min("seq").alias("min_seq"),
         F.count("*").alias("n_rows"), F.sum(entry_bytes(F.col("user_key"), F.col("value"))).alias("size"),
     )
 
@@ -61,20 +68,42 @@ def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def floor_block(index: DataFrame, keys: DataFrame) -> DataFrame:
+def floor_block(index: DataFrame, keys: DataFrame, most_local: int = MOST_LOCAL, part_rows: int = 1 << 20) -> DataFrame:
     """The block of each key: the last one whose first key is at or below it, else the first block.
 
-    index: first_key, block; of blocks with one first key the first counts. Cut keys are first
-    keys, so each part holds the floors of its own keys and no part sees the whole index.
+    index: first_key, block; of blocks with one first key the first counts. An index of at most
+    most_local rows, counted first, is broadcast and searched; the keys aren't shuffled at all.
+    Beyond it keys, equal ones as one row, and first keys are sorted together by range, in parts
+    of about part_rows rows; a part's first keys carry on to the parts after it, so no task
+    depends on how many keys fall into a block. Null keys have the first block.
     """
-    starts = index.groupBy(F.col("first_key").alias("user_key")).agg(F.min("block").alias("block"))
-    cuts = cut_keys(starts, "user_key")
+    spark = index.sparkSession
+    starts = written(index.groupBy(F.col("first_key").alias("user_key")).agg(F.min("block").cast("long").alias("block")), "floor-index")
+    n = starts.count()
+    if n <= most_local:
+        rows = starts.orderBy("user_key").collect()
+        held = spark.sparkContext.broadcast(([bytes(r["user_key"]) for r in rows], [r["block"] for r in rows]))
+
+        def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            first, block = held.value
+            for frame in frames:
+                place = (max(0, bisect_right(first, k) - 1) if k is not None and first else 0 for k in frame["user_key"])
+                yield frame.assign(block=pd.array([block[i] if block else None for i in place], dtype="Int64"))
+
+        return keys.select("user_key").mapInPandas(found, "user_key binary, block long")
+    asked = keys.groupBy("user_key").agg(F.count("*").alias("times"))
+    both = asked.select("user_key", F.lit(None).cast("long").alias("block"), "times").unionByName(starts.select("user_key", "block", F.lit(0).cast("long").alias("times")))
+    parts = max(1, -(-(n + asked.count()) // part_rows))
+    both = written(both.repartitionByRange(parts, "user_key").withColumn("part", F.spark_partition_id()), "floor-parts")
+    last = both.filter("block IS NOT NULL").groupBy("part").agg(F.max_by("block", "user_key").alias("last"))
+    # One row a part: what the parts before it hand on, and the first block for keys below all.
+    every = both.select("part").distinct().join(last, "part", "left").withColumn("carried", F.last("last", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     first = starts.agg(F.min_by("block", "user_key")).first()[0]
-    both = keys.select("user_key", F.lit(None).cast("long").alias("block"), F.lit(1).alias("asked")).unionByName(starts.select("user_key", F.col("block").cast("long").alias("block"), F.lit(0).alias("asked")))
-    w = Window.partitionBy(_bin(F.col("user_key"), cuts)).orderBy("user_key", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("part").orderBy("user_key", "times").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        both.withColumn("floor", F.last("block", ignorenulls=True).over(w)).filter("asked = 1")
-        .select("user_key", F.coalesce("floor", F.lit(first).cast("long")).alias("block"))
+        both.withColumn("floor", F.last("block", True).over(w)).filter("times > 0").join(F.broadcast(every.select("part", "carried")), "part")
+        .select("user_key", F.coalesce("floor", "carried", F.lit(first).cast("long")).alias("block"), F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+        .select("user_key", "block")
     )
 
 

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata import fixtures as fx
+from keystrata.config import StoreConfig
 from keystrata.functions import checksum, encoded_entry_bytes, entry_bytes
 from keystrata.operators import merge, mvcc, reads, tables
-from keystrata.schema import readable
+from keystrata.schema import readable, to_binary
+from keystrata.sources.manifest import describe, runs_df
+from keystrata.storage import new_path
+from keystrata.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Snapshots and floors of the queries.
-MID, FAR = 500, 1 << 62
+#: A floor above every seq.
+FAR = 1 << 62
 LOW, HIGH = "user000003", "user000060"
 #: Rows of a run, and the settings of the level queries.
 RUN_ROWS, TRIGGER, BASE, MULTIPLIER = 256, 4, 4096, 10
@@ -25,7 +31,7 @@ RUN_ROWS, TRIGGER, BASE, MULTIPLIER = 256, 4, 4096, 10
 NEWEST = "SELECT k, seq, v, deleted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM {0}) WHERE rn = 1"
 #: Half of the largest seq, for snapshots and floors that grow with the log; 0 in an empty one.
 HALF = "(SELECT coalesce(max(seq), 0) // 2 FROM events_log)"
-RUNS = f"SELECT (seq - 1) // {RUN_ROWS} table_id, ((seq - 1) // {RUN_ROWS}) % 3 level, min(k) head_key, max(k) tail_key, max(seq) max_seq, count(*) n_rows, CAST(sum(length(k) + coalesce(octet_length(encode(v)), 0)) AS bigint) size FROM events_log GROUP BY ALL"
+RUNS = f"SELECT (seq - 1) // {RUN_ROWS} table_id, ((seq - 1) // {RUN_ROWS}) % 3 level, min(k) head_key, max(k) tail_key, max(seq) max_seq, min(seq) min_seq, count(*) n_rows, CAST(sum(length(k) + coalesce(octet_length(encode(v)), 0)) AS bigint) size FROM events_log GROUP BY ALL"
 
 
 def query(sql: str | None, *views: str, **ctes: str):
@@ -65,14 +71,8 @@ def point_select(spark, sf_dir):
     return readable(reads.select(fx.events_log(spark, sf_dir), "user000007").select("user_key", "value"))
 
 
-@query("SELECT a.k, n.v, n.k IS NOT NULL found FROM (SELECT printf('user%06d', c_custkey) k FROM customer WHERE c_custkey % 7 = 0) a LEFT JOIN (SELECT * FROM n WHERE NOT deleted) n USING (k)", "events_log", n=NEWEST.format("events_log"))
-def multi_get(spark, sf_dir):
-    asked = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 7 = 0").select(F.format_string("user%06d", "c_custkey").cast("binary").alias("user_key"))
-    return readable(reads.multi_get(fx.events_log(spark, sf_dir), asked))
-
-
 @query("SELECT a.k, n.v, n.k IS NOT NULL found FROM (SELECT printf('user%06d', c_custkey) k FROM customer) a LEFT JOIN (SELECT * FROM n WHERE NOT deleted) n USING (k)", "events_log", n=NEWEST.format("events_log"))
-def multi_get_all(spark, sf_dir):
+def multi_get(spark, sf_dir):
     """Every customer's key."""
     asked = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.format_string("user%06d", "c_custkey").cast("binary").alias("user_key"))
     return readable(reads.multi_get(fx.events_log(spark, sf_dir), asked))
@@ -93,13 +93,8 @@ def scan_empty_range(spark, sf_dir):
     return reads.scan(fx.events_log(spark, sf_dir), LOW, LOW).agg(F.count("*").alias("n"))
 
 
-@query("SELECT k, seq, v FROM n WHERE NOT deleted", "events_log", b=f"SELECT * FROM events_log WHERE seq <= {MID}", n=NEWEST.format("b"))
-def snapshot_as_of(spark, sf_dir):
-    return readable(reads.snapshot(fx.events_log(spark, sf_dir), MID))
-
-
 @query("SELECT k, seq, v FROM n WHERE NOT deleted", "events_log", b=f"SELECT * FROM events_log WHERE seq <= {HALF}", n=NEWEST.format("b"))
-def snapshot_as_of_half(spark, sf_dir):
+def snapshot_as_of(spark, sf_dir):
     v = fx.events_log(spark, sf_dir)
     return readable(reads.snapshot(v, _half(v)))
 
@@ -109,13 +104,8 @@ def snapshot_before_any(spark, sf_dir):
     return reads.snapshot(fx.events_log(spark, sf_dir), 0).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM n", "events_log", b=f"SELECT * FROM events_log WHERE seq <= {MID}", n=NEWEST.format("b"))
-def newest_including_tombstones(spark, sf_dir):
-    return readable(reads.newest_per_key(reads.as_of(fx.events_log(spark, sf_dir), MID)))
-
-
 @query("SELECT * FROM n", "events_log", b=f"SELECT * FROM events_log WHERE seq <= {HALF}", n=NEWEST.format("b"))
-def newest_including_tombstones_half(spark, sf_dir):
+def newest_including_tombstones(spark, sf_dir):
     v = fx.events_log(spark, sf_dir)
     return readable(reads.newest_per_key(reads.as_of(v, _half(v))))
 
@@ -146,14 +136,8 @@ def merged_latest_seq(spark, sf_dir):
     return readable(merge.merged_latest_seq(v.filter("seq > 900"), v.filter("seq <= 900")))
 
 
-@query("SELECT * FROM hi UNION ALL SELECT * FROM lo WHERE k NOT IN (SELECT k FROM hi)", "events_log", a=f"SELECT * FROM events_log WHERE seq <= {MID}", b=f"SELECT * FROM events_log WHERE seq > {MID} AND seq % 3 = 0", lo=NEWEST.format("a"), hi=NEWEST.format("b"))
-def merge_precedence(spark, sf_dir):
-    v = fx.events_log(spark, sf_dir)
-    return readable(merge.merge_precedence(reads.newest_per_key(v.filter(f"seq > {MID} AND seq % 3 = 0")), reads.newest_per_key(v.filter(f"seq <= {MID}"))))
-
-
 @query("SELECT * FROM hi UNION ALL SELECT * FROM lo WHERE k NOT IN (SELECT k FROM hi)", "events_log", a=f"SELECT * FROM events_log WHERE seq <= {HALF}", b=f"SELECT * FROM events_log WHERE seq > {HALF}", lo=NEWEST.format("a"), hi=NEWEST.format("b"))
-def merge_precedence_halves(spark, sf_dir):
+def merge_precedence(spark, sf_dir):
     """The whole late half of the log over the whole early half."""
     v = fx.events_log(spark, sf_dir)
     half = _half(v)
@@ -171,14 +155,8 @@ def write_set_fold(spark, sf_dir):
     return readable(merge.fold_write_set(fx.tx_log(spark, sf_dir), "seq"))
 
 
-@query("SELECT k, v FROM f WHERE NOT deleted UNION ALL SELECT k, v FROM n WHERE NOT deleted AND k NOT IN (SELECT k FROM f)", "events_log", "tx_log", b=f"SELECT * FROM events_log WHERE seq <= {MID}", n=NEWEST.format("b"), f="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord DESC) rn FROM tx_log WHERE seq = 60) WHERE rn = 1")
-def tx_overlay_read(spark, sf_dir):
-    own = merge.fold_write_set(fx.tx_log(spark, sf_dir).filter("seq = 60"))
-    return readable(merge.overlay(reads.snapshot(fx.events_log(spark, sf_dir), MID), own))
-
-
 @query("SELECT k, v FROM f WHERE NOT deleted UNION ALL SELECT k, v FROM n WHERE NOT deleted AND k NOT IN (SELECT k FROM f)", "events_log", "tx_log", b=f"SELECT * FROM events_log WHERE seq <= {HALF}", n=NEWEST.format("b"), f="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord DESC) rn FROM tx_log WHERE seq = 60) WHERE rn = 1")
-def tx_overlay_read_half(spark, sf_dir):
+def tx_overlay_read(spark, sf_dir):
     v = fx.events_log(spark, sf_dir)
     own = merge.fold_write_set(fx.tx_log(spark, sf_dir).filter("seq = 60"))
     return readable(merge.overlay(reads.snapshot(v, _half(v)), own))
@@ -195,9 +173,11 @@ def tx_conflicts(spark, sf_dir):
     return mvcc.transaction_conflicts(fx.tx_log(spark, sf_dir).select("seq", "snapshot_seq", "user_key").distinct())
 
 
-@query("SELECT a.g AS \"group\", a.tx, NOT (a.o = 2 AND EXISTS (SELECT 1 FROM u x JOIN u y ON x.g = y.g AND x.k = y.k WHERE x.g = a.g AND x.o = 1 AND y.o = 2)) committed FROM (SELECT DISTINCT g, tx, o FROM u) a", "tx_log", u="SELECT DISTINCT (seq - 1) // 2 g, seq tx, (seq - 1) % 2 + 1 o, k FROM tx_log")
+@query("SELECT g AS \"group\", tx, committed FROM f", "tx_log", a="SELECT (seq - 1) // 10 g, seq tx, (seq - 1) % 10 + 1 o, list(DISTINCT k) ks FROM tx_log GROUP BY seq",
+       f="WITH RECURSIVE r AS (SELECT g, o, tx, ks held, true committed FROM a WHERE o = 1 UNION ALL SELECT a.g, a.o, a.tx, CASE WHEN list_has_any(r.held, a.ks) THEN r.held ELSE list_concat(r.held, a.ks) END, NOT list_has_any(r.held, a.ks) FROM r JOIN a ON a.g = r.g AND a.o = r.o + 1) SELECT g, tx, committed FROM r")
 def first_committer_wins(spark, sf_dir):
-    t = fx.tx_log(spark, sf_dir).select(F.expr("(seq - 1) div 2").alias("group"), F.col("seq").alias("tx"), ((F.col("seq") - 1) % 2 + 1).alias("commit_order"), "user_key").distinct()
+    """Ten transactions a group, all at one snapshot."""
+    t = fx.tx_log(spark, sf_dir).select(F.expr("(seq - 1) div 10").alias("group"), F.col("seq").alias("tx"), ((F.col("seq") - 1) % 10 + 1).alias("commit_order"), "user_key")
     return mvcc.first_committer_wins(t)
 
 
@@ -216,13 +196,8 @@ def _gc_sql(floor: int | str, drop: bool = False) -> str:
     return f"SELECT k, seq, v, deleted FROM events_log WHERE seq > {floor} UNION ALL SELECT k, seq, v, deleted FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) rn FROM events_log WHERE seq <= {floor}) WHERE rn = 1{kept}"
 
 
-@query(_gc_sql(MID), "events_log")
-def gc_floor_mid(spark, sf_dir):
-    return readable(mvcc.gc_versions(fx.events_log(spark, sf_dir), MID))
-
-
 @query(_gc_sql(HALF), "events_log")
-def gc_floor_half(spark, sf_dir):
+def gc_floor_mid(spark, sf_dir):
     v = fx.events_log(spark, sf_dir)
     return readable(mvcc.gc_versions(v, _half(v)))
 
@@ -237,13 +212,8 @@ def gc_floor_zero(spark, sf_dir):
     return readable(mvcc.gc_versions(fx.events_log(spark, sf_dir), 0))
 
 
-@query(_gc_sql(MID, True), "events_log")
-def gc_drop_tombstones_bottom(spark, sf_dir):
-    return readable(mvcc.gc_versions(fx.events_log(spark, sf_dir), MID, drop_tombstones=True))
-
-
 @query(_gc_sql(HALF, True), "events_log")
-def gc_drop_tombstones_half(spark, sf_dir):
+def gc_drop_tombstones_bottom(spark, sf_dir):
     v = fx.events_log(spark, sf_dir)
     return readable(mvcc.gc_versions(v, _half(v), drop_tombstones=True))
 
@@ -254,21 +224,17 @@ def _reclaimed(v: DataFrame, floor: int) -> DataFrame:
     return both.withColumn("reclaimed", F.col("before") - F.col("after"))
 
 
-@query("SELECT (SELECT count(*) FROM events_log) before, (SELECT count(*) FROM g) after, (SELECT count(*) FROM events_log) - (SELECT count(*) FROM g) reclaimed", "events_log", g=_gc_sql(MID, True))
-def gc_reclaimed_stats(spark, sf_dir):
-    return _reclaimed(fx.events_log(spark, sf_dir), MID)
-
-
 @query("SELECT (SELECT count(*) FROM events_log) before, (SELECT count(*) FROM g) after, (SELECT count(*) FROM events_log) - (SELECT count(*) FROM g) reclaimed", "events_log", g=_gc_sql(HALF, True))
-def gc_reclaimed_half(spark, sf_dir):
+def gc_reclaimed_stats(spark, sf_dir):
     v = fx.events_log(spark, sf_dir)
     return _reclaimed(v, _half(v))
 
 
-@query("SELECT least(coalesce(min(event_id + 1), 900), 900) floor FROM events WHERE event_id % 97 = 13", )
+@query("SELECT least(min(last), max(last)) floor FROM (SELECT max(event_id) + 1 AS last FROM events GROUP BY user_id)")
 def gc_floor_of_readers(spark, sf_dir):
-    active = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 97 = 13").select((F.col("event_id") + 1).alias("snapshot"))
-    return mvcc.gc_floor(active, 900)
+    """Every user reads at their last event."""
+    active = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg((F.max("event_id") + 1).alias("snapshot"))
+    return mvcc.gc_floor(active, active.agg(F.max("snapshot")).first()[0] or 0)
 
 
 @query("SELECT event_id % 5 AS snapshot, count(*) readers FROM events GROUP BY ALL")
@@ -276,7 +242,7 @@ def active_snapshot_counts(spark, sf_dir):
     return mvcc.active_counts(spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") % 5).alias("snapshot")))
 
 
-@query("SELECT table_id, head_key, tail_key, max_seq, n_rows, size FROM r", "events_log", r=RUNS)
+@query("SELECT table_id, head_key, tail_key, max_seq, min_seq, n_rows, size FROM r", "events_log", r=RUNS)
 def run_stats(spark, sf_dir):
     return _text(_runs(spark, sf_dir).drop("level"), "head_key", "tail_key")
 
@@ -342,16 +308,8 @@ def round_robin_pick(spark, sf_dir):
     return pick(b"key0000000000700", "after").unionByName(pick(b"z", "wrapped"))
 
 
-@query("SELECT o.k, coalesce((SELECT max(i.block) FROM i WHERE i.first_key <= o.k), (SELECT min(block) FROM i)) block FROM o", o="SELECT printf('key%013d', o_orderkey * 7 % 2000) k FROM orders WHERE o_orderkey % 50 = 3", i="SELECT printf('key%013d', o_orderkey) first_key, o_orderkey // 64 block FROM orders WHERE o_orderkey % 64 = 5")
-def floor_block_lookup(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    index = o.filter("o_orderkey % 64 = 5").select(F.format_string("key%013d", "o_orderkey").cast("binary").alias("first_key"), F.expr("o_orderkey div 64").alias("block"))
-    keys = o.filter("o_orderkey % 50 = 3").select(F.format_string("key%013d", F.col("o_orderkey") * 7 % 2000).cast("binary").alias("user_key"))
-    return readable(tables.floor_block(index, keys))
-
-
 @query("SELECT o.k, coalesce(i.block, (SELECT min(block) FROM i)) block FROM o ASOF LEFT JOIN i ON o.k >= i.first_key", o="SELECT printf('key%013d', o_orderkey) k FROM orders", i="SELECT printf('key%013d', o_orderkey) first_key, o_orderkey // 64 block FROM orders WHERE o_orderkey % 64 = 5")
-def floor_block_lookup_all(spark, sf_dir):
+def floor_block_lookup(spark, sf_dir):
     """Every order's key, over all blocks."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     index = o.filter("o_orderkey % 64 = 5").select(F.format_string("key%013d", "o_orderkey").cast("binary").alias("first_key"), F.expr("o_orderkey div 64").alias("block"))
@@ -387,19 +345,21 @@ def bank_total(spark, sf_dir):
     return reads.snapshot(fx.bank_kv(spark, sf_dir)).agg(F.sum(F.col("value").cast("string").cast("long")).alias("total"))
 
 
-@query("SELECT CAST(sum(CAST(v AS bigint)) AS bigint) before, CAST(sum(CAST(v AS bigint)) AS bigint) after FROM bank_kv", "bank_kv")
+@query("SELECT CAST(sum(c) AS bigint) before, CAST(sum(c + d) AS bigint) after, CAST(sum(abs(d)) AS bigint) moved FROM x", "bank_kv",
+       b="SELECT CAST(k AS bigint) a, CAST(v AS bigint) c, (CAST(k AS bigint) - 1) // 2 p FROM bank_kv", m="SELECT p, arg_min(c, a) f, min(a) payer, count(*) n FROM b GROUP BY p",
+       x="SELECT c, CASE WHEN n = 2 THEN sign(f) * (abs(f) // 10) * CASE WHEN a = payer THEN -1 ELSE 1 END ELSE 0 END d FROM b JOIN m USING (p)")
 def bank_transfer_conserved(spark, sf_dir):
     """Each pair of neighbouring accounts moves a tenth of the first balance in one transaction."""
     v = fx.bank_kv(spark, sf_dir)
-    number = F.col("user_key").cast("string").cast("long")
     cents = F.col("value").cast("string").cast("long")
+    number = F.col("user_key").cast("string").cast("long")
     pairs = v.select(F.expr("(cast(cast(user_key as string) as bigint) - 1) div 2").alias("pair"), "user_key", number.alias("account"), cents.alias("cents"))
     moved = pairs.groupBy("pair").agg(F.min_by("cents", "account").alias("first"), F.min("account").alias("payer"), F.count("*").alias("n"))
     share = F.when(F.col("n") == 2, F.expr("first div 10")).otherwise(F.lit(0))
     after = pairs.join(moved, "pair").select("user_key", F.lit(FAR).alias("seq"), (F.col("cents") + F.when(F.col("account") == F.col("payer"), -share).otherwise(share)).cast("string").cast("binary").alias("value"), F.lit(False).alias("deleted"))
-    total = lambda df, name: reads.snapshot(df).agg(F.sum(F.col("value").cast("string").cast("long")).alias(name))
-    sums = total(v, "before").select("before", F.lit(None).cast("long").alias("after")).unionByName(total(merge.union_all(v, after), "after").select(F.lit(None).cast("long").alias("before"), "after"))
-    return sums.agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    old = reads.snapshot(v).select("user_key", cents.alias("old"))
+    new = reads.snapshot(merge.union_all(v, after)).select("user_key", cents.alias("new"))
+    return old.join(new, "user_key").agg(F.sum("old").alias("before"), F.sum("new").alias("after"), F.sum(F.abs(F.col("new") - F.col("old"))).alias("moved"))
 
 
 @query("SELECT DISTINCT printf('%020d', user_id) element FROM events WHERE event_type = 'signup'")
@@ -411,8 +371,9 @@ def set_elements(spark, sf_dir):
 
 @query("SELECT count(*) FILTER (event_type = 'purchase') AS \"value\" FROM events")
 def counter_value(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.agg(F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).cast("long").alias("value"))
+    """The versions of a key that every purchase writes."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").cast("binary").alias("user_key"))
+    return reads.version_counts(e).filter(F.col("user_key") == to_binary("purchase")).agg(F.coalesce(F.sum("versions"), F.lit(0)).alias("value"))
 
 
 @query(None)
@@ -420,19 +381,19 @@ def crc_of_values(spark, sf_dir):
     return fx.orders_kv(spark, sf_dir).select(F.col("user_key").cast("string").alias("k"), checksum(F.col("value")).alias("crc"))
 
 
-@query("SELECT event_id // 64 batch, count(*) writes, min(event_id + 1) first_seq, max(event_id + 1) last_seq FROM events GROUP BY ALL")
+@query("SELECT w AS \"window\", (i - 1) // 64 batch, count(*) writes, min(seq) first_seq, max(seq) last_seq FROM (SELECT seq, seq // 1000 w, row_number() OVER (PARTITION BY seq // 1000 ORDER BY seq) i FROM events_log) GROUP BY ALL", "events_log")
 def group_commit_batches(spark, sf_dir):
-    v = fx.events_log(spark, sf_dir)
-    return v.groupBy(F.expr("(seq - 1) div 64").alias("batch")).agg(F.count("*").alias("writes"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    """Batches of at most 64 writes within windows of 1,000 ticks; the seq stands for the time of arrival."""
+    return mvcc.commit_batches(fx.events_log(spark, sf_dir), F.col("seq"), 1000, 64)
 
 
-@query("SELECT * FROM n", "events_log", b="SELECT * FROM events_log WHERE seq > 200 AND seq <= 500", n=NEWEST.format("b"))
-def changes_between(spark, sf_dir):
-    return readable(reads.changes_between(fx.events_log(spark, sf_dir), 200, 500))
+@query("SELECT k, seq, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS \"rank\" FROM events_log", "events_log")
+def version_ranks(spark, sf_dir):
+    return readable(reads.ranked(fx.events_log(spark, sf_dir)).select("user_key", "seq", "rank"))
 
 
 @query("SELECT * FROM n", "events_log", b=f"SELECT * FROM events_log WHERE seq > {HALF} // 2 AND seq <= {HALF}", n=NEWEST.format("b"))
-def changes_between_half(spark, sf_dir):
+def changes_between(spark, sf_dir):
     """The second quarter of the log."""
     v = fx.events_log(spark, sf_dir)
     half = _half(v)
@@ -449,3 +410,82 @@ def key_range_runs(spark, sf_dir):
     """Versions dealt into key ranges: a key's versions meet in one range."""
     dealt = tables.key_ranges(fx.lineitem_log(spark, sf_dir), 8).withColumn("part", F.spark_partition_id())
     return readable(dealt.groupBy("part", "user_key").agg(F.max("seq").alias("seq"), F.count("*").alias("versions")).drop("part"))
+
+
+# Queries over a store that is written, compacted and read back
+
+
+@contextmanager
+def _store(spark: SparkSession, sf_dir: str, **settings) -> Iterator[Store]:
+    """A store in the shared folder with the events in three bulk writes."""
+    with tempfile.TemporaryDirectory() as logs:
+        config = StoreConfig(f"{new_path(spark, 'store')}/runs", logs, workers=False, auto_compact=False, l0_trigger=2, **settings)
+        with Store.open(spark, config) as store:
+            v = fx.events_log(spark, sf_dir)
+            last = v.agg(F.max("seq")).first()[0] or 0
+            for i in range(3):
+                part = v.filter((F.col("seq") > last * i // 3) & (F.col("seq") <= last * (i + 1) // 3))
+                store.write_df(part.select("user_key", "value", "deleted", F.col("seq").alias("ord")))
+            yield store
+
+
+LIVE = "SELECT k, v FROM n WHERE NOT deleted"
+
+
+@query(LIVE, "events_log", n=NEWEST.format("events_log"))
+def store_scan(spark, sf_dir):
+    """All live keys after a compaction."""
+    with _store(spark, sf_dir) as s:
+        s.compact()
+        return readable(s.scan(b""))
+
+
+@query(f"SELECT k, v FROM n WHERE k >= '{LOW}' AND k < '{HIGH}' AND NOT deleted", "events_log", n=NEWEST.format("events_log"))
+def store_range_read(spark, sf_dir):
+    """A range of runs cut to a few kilobytes; the manifest leaves out most of them."""
+    with _store(spark, sf_dir, run_bytes=1 << 12, l1_bytes=1 << 30) as s:
+        s.compact()
+        return readable(s.scan(LOW.encode(), HIGH.encode()))
+
+
+@query(LIVE, "events_log", b="SELECT * FROM events_log WHERE seq <= (SELECT max(seq) * 2 // 3 FROM events_log)", n=NEWEST.format("b"))
+def store_past_snapshot(spark, sf_dir):
+    """The state before the last write, which compaction keeps for its reader."""
+    with _store(spark, sf_dir, history_seqs=1) as s:
+        s.compact()
+        return readable(s.scan(b"", None, s.applied - 1))
+
+
+@query("SELECT a.k, n.v, n.k IS NOT NULL found FROM (SELECT printf('user%06d', c_custkey) k FROM customer) a LEFT JOIN (SELECT * FROM n WHERE NOT deleted) n USING (k)", "events_log", n=NEWEST.format("events_log"))
+def store_multi_get(spark, sf_dir):
+    """Every customer's key."""
+    with _store(spark, sf_dir) as s:
+        return readable(s.multi_get(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.format_string("user%06d", "c_custkey").alias("user_key"))))
+
+
+@query("SELECT k, v FROM (SELECT k, v FROM n WHERE NOT deleted AND k >= 'user000050' UNION ALL SELECT printf('user%06d', i) k, 'logged' v FROM range(50) t(i))", "events_log", n=NEWEST.format("events_log"))
+def store_recovered(spark, sf_dir):
+    """Runs and a log, read by a store that was opened again."""
+    with _store(spark, sf_dir) as s:
+        for i in range(50):
+            s.put(b"user%06d" % i, b"logged")
+        s.close()
+        with Store.open(spark, s.config) as again:
+            return readable(again.scan(b""))
+
+
+@query("SELECT k, v, deleted FROM n WHERE NOT deleted", "events_log", n=NEWEST.format("events_log"))
+def store_full_read(spark, sf_dir):
+    """Every row of the compacted runs: tombstones are gone at the bottom."""
+    with _store(spark, sf_dir) as s:
+        s.compact()
+        return readable(s.read_runs(list(s.manifest.version.runs.values())).select("user_key", "value", "deleted"))
+
+
+@query("SELECT count(*) n_rows, min(k) head_key, max(k) tail_key FROM n WHERE NOT deleted", "events_log", n=NEWEST.format("events_log"))
+def store_manifest(spark, sf_dir):
+    """What the manifest says about the compacted runs, read without opening the store."""
+    with _store(spark, sf_dir) as s:
+        s.compact()
+        runs = runs_df(spark, describe(s.config.log_dir)[1])
+        return _text(runs.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), F.min("head_key").alias("head_key"), F.max("tail_key").alias("tail_key")), "head_key", "tail_key")

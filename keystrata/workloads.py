@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import json
-import time
 from collections.abc import Callable
 from typing import TypeVar
 
-from keystrata.errors import StoreError
 from keystrata.store import Store, Transaction
 
 T = TypeVar("T")
@@ -15,15 +13,7 @@ T = TypeVar("T")
 
 def retried(store: Store, body: Callable[[Transaction], T], attempts: int = 50) -> T:
     """A body in a transaction of its own, again for as long as its error is retriable."""
-    for i in range(attempts):
-        try:
-            with store.tx() as tx:
-                return body(tx)
-        except StoreError as e:
-            if not e.retriable or i == attempts - 1:
-                raise
-            time.sleep(0.001 * i)
-    raise AssertionError
+    return store.run(body, attempts)
 
 
 def account(number: int) -> bytes:

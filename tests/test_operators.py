@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,33 @@ def test_pushdown(spark, tmp_path):
     v(spark, ("a", 1, "x"), ("b", 2, "y")).write.parquet(str(tmp_path / "run"))
     plan = reads.scan(spark.read.parquet(str(tmp_path / "run")), "a", "b", 5)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(user_key" in plan and "LessThan(user_key" in plan
+
+
+def test_first_committer_of_many(spark):
+    """A transaction that aborts blocks nobody after it."""
+    rng = random.Random(5)
+    rows = [("g", "a", 1, b"x"), ("g", "b", 2, b"x"), ("g", "b", 2, b"y"), ("g", "c", 3, b"y"), ("h", "a", 1, b"x"), ("h", "b", 2, b"z"), ("h", "c", 3, b"x"), ("i", "a", 1, None)]
+    rows += [("r%d" % g, "t%d" % t, t, b"k%d" % rng.randint(0, 9)) for g in range(5) for t in range(8) for _ in range(rng.randint(1, 3))]
+    want, held = {}, {}
+    for g, t, _ in sorted({r[:3] for r in rows}, key=lambda r: (r[0], r[2])):
+        keys = {r[3] for r in rows if r[:2] == (g, t)} - {None}
+        want[g, t] = not keys & held.setdefault(g, set())
+        held[g] |= keys if want[g, t] else set()
+    got = mvcc.first_committer_wins(spark.createDataFrame(rows, "group string, tx string, commit_order int, user_key binary"))
+    assert {(r["group"], r["tx"]): r["committed"] for r in got.collect()} == want
+    assert want["g", "a"] and not want["g", "b"] and want["g", "c"] and not want["h", "c"]
+
+
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_floor_block_small_and_large(spark, most):
+    rng = random.Random(2)
+    index = [(b"%04d" % (i * 7), i) for i in range(3, 90)] + [(b"%04d" % 28, 99)]
+    keys = [b"%04d" % rng.randint(0, 700) for _ in range(500)] + [b"0100"] * 300 + [b"", b"\xff"]
+    firsts = {}
+    for k, b in index:
+        firsts[k] = min(b, firsts.get(k, b))
+    floor = lambda k: firsts[max([f for f in firsts if f <= k], default=min(firsts))]
+    got = tables.floor_block(spark.createDataFrame(index, "first_key binary, block int"), spark.createDataFrame([(k,) for k in keys], "user_key binary"), most, 100)
+    assert sorted((bytes(r["user_key"]), r["block"]) for r in got.collect()) == sorted((k, floor(k)) for k in keys)
+    none = spark.createDataFrame([], "first_key binary, block int")
+    assert tables.floor_block(none, spark.createDataFrame([(b"a",)], "user_key binary"), most).collect()[0]["block"] is None

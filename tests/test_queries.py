@@ -72,25 +72,25 @@ def test_floor_block_of_every_order(spark, larger):
     keys = [k for (k,) in larger[1].execute("SELECT o_orderkey FROM orders").fetchall()]
     firsts = sorted(k for k in keys if k % 64 == 5)
     want = {f"key{k:013d}": firsts[max(0, bisect_right(firsts, k) - 1)] // 64 for k in keys}
-    rows = whole(spark, larger, "floor_block_lookup_all")
+    rows = whole(spark, larger, "floor_block_lookup")
     assert len(rows) == len(keys) and dict(rows) == want and len(set(want.values())) == len(firsts)
 
 
 def test_multi_get_of_every_customer(spark, larger):
-    assert len(whole(spark, larger, "multi_get_all")) == larger[1].execute("SELECT count(*) FROM customer").fetchone()[0]
+    assert len(whole(spark, larger, "multi_get")) == larger[1].execute("SELECT count(*) FROM customer").fetchone()[0]
 
 
 def test_merge_precedence_of_both_halves(spark, larger):
-    assert len(whole(spark, larger, "merge_precedence_halves")) == larger[1].execute("SELECT count(DISTINCT user_id) FROM events").fetchone()[0]
+    assert len(whole(spark, larger, "merge_precedence")) == larger[1].execute("SELECT count(DISTINCT user_id) FROM events").fetchone()[0]
 
 
-@pytest.mark.parametrize("name", ["snapshot_as_of_half", "newest_including_tombstones_half", "tx_overlay_read_half", "changes_between_half", "gc_floor_half", "gc_drop_tombstones_half", "gc_reclaimed_half"])
+@pytest.mark.parametrize("name", ["snapshot_as_of", "newest_including_tombstones", "tx_overlay_read", "changes_between", "gc_floor_mid", "gc_drop_tombstones_bottom", "gc_reclaimed_stats"])
 def test_halves_grow_with_the_log(spark, larger, name):
     """At ten times the size they read half the log, not its first 500 versions."""
     rows = whole(spark, larger, name)
-    if name == "gc_reclaimed_half":
+    if name == "gc_reclaimed_stats":
         assert rows[0][0] == 10_000 and rows[0][2] > 4_500
     elif name.startswith("gc_"):
         assert len(rows) < 5_500
-    elif name != "tx_overlay_read_half":
+    elif name != "tx_overlay_read":
         assert 500 < max(r[1] for r in rows) <= 5_000
