@@ -13,8 +13,10 @@ from keystrata.llm.shared import written
 
 #: Centres of a subspace: a code has four bits.
 CENTRES = 16
-#: Standard deviations of the scan's error within which a candidate is still reranked.
-SLACK = 4.0
+#: Standard deviations of the scan's error within which a candidate is still reranked, and the rounding of its tables.
+SLACK, ROUNDING = 4.0, 1e-5
+#: Most bytes of queries that are broadcast; more meet the candidates by a join.
+MOST_BROADCAST = 32 << 20
 
 
 class Quantizer:
@@ -118,31 +120,45 @@ def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_pairs(queries: np.ndarray, vectors: np.ndarray, near: np.ndarray, top: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and norms; no square leaves the range of doubles on the way."""
+    largest = np.abs(vectors).max(axis=1, keepdims=True)
+    scaled = vectors / largest
+    size = np.linalg.norm(scaled, axis=1, keepdims=True)
+    return scaled / size, (largest * size)[:, 0]
+
+
+def best_pairs(asked: Asked, vectors: np.ndarray, norms: np.ndarray, guess: np.ndarray, open_: np.ndarray, top: int, rerank: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, candidate and exact score of all pairs that may be among a query's `top`.
 
-    The shortlist comes first. It shows the score that a newcomer must reach and the spread of
-    the scan's errors; every other candidate within SLACK of these spreads is reranked, too, so
-    that dense groups with like codes aren't cut in the middle.
+    guess: the scan's inner products of directions; open_: which pairs count; least: scores that
+    a newcomer must reach anyway. The shortlist comes first. It shows the score to reach and the
+    spread of the scan's errors, which are in proportion to a candidate's norm; every other
+    candidate within SLACK of these spreads is reranked, too, so that dense groups with like
+    codes aren't cut in the middle. What can't be compared (overflow) is reranked.
     """
-    chosen = shortlist(near, rerank)
-    guess = np.take_along_axis(near, chosen, 1)
-    who, at = np.nonzero(guess > -np.inf)
+    near = guess.astype(np.float64) * norms
+    chosen = shortlist(np.where(open_, near, -np.inf), rerank)
+    who, at = np.nonzero(np.take_along_axis(open_, chosen, 1))
     which = chosen[who, at]
-    score = exact(queries[who], vectors[which])
-    held = np.full(guess.shape, -np.inf)
-    held[who, at] = score
-    known = guess > -np.inf
-    error = np.where(known, held, 0) - np.where(known, guess, 0)
-    n = np.maximum(known.sum(1), 1)
-    slack = SLACK * np.sqrt(np.maximum((error**2).sum(1) / n - (error.sum(1) / n) ** 2, 0))
-    worst = np.partition(held, -top, axis=1)[:, -top] if held.shape[1] > top else np.full(len(held), -np.inf)
-    more = (near >= (worst - slack)[:, None]) & (near > -np.inf)
+    score = exact(asked.vectors[who], vectors[which])
+    with np.errstate(invalid="ignore", over="ignore"):
+        own = score / asked.norms[who]
+        error = own / norms[which] - guess[who, which]
+        n = np.maximum(np.bincount(who, minlength=len(near)), 1)
+        mean = np.bincount(who, error, len(near)) / n
+        slack = ROUNDING + SLACK * np.sqrt(np.maximum(np.bincount(who, error**2, len(near)) / n - mean**2, 0))
+        held = np.full(chosen.shape, -np.inf)
+        held[who, at] = own
+        worst = np.partition(held, -top, axis=1)[:, -top] if held.shape[1] >= top else np.full(len(held), -np.inf)
+        if least is not None:
+            worst = np.maximum(worst, least / asked.norms)
+        more = open_ & ~(near + slack[:, None] * norms < worst[:, None])
     np.put_along_axis(more, chosen, False, 1)
     pairs = [(who, which, score)]
-    for start in range(0, len(queries), 32):
+    for start in range(0, len(near), 32):
         a, b = np.nonzero(more[start : start + 32])
-        pairs.append((a + start, b, exact(queries[a + start], vectors[b])))
+        pairs.append((a + start, b, exact(asked.vectors[a + start], vectors[b])))
     who, which, score = (np.concatenate(x) for x in zip(*pairs))
     return who, which, score
 
@@ -157,6 +173,55 @@ def copy_rank(vectors: np.ndarray) -> np.ndarray:
     return rank
 
 
+class Asked:
+    """Queries: their ids, vectors, directions and norms."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.vectors = ids, vectors
+        self.units, self.norms = directions(vectors) if len(vectors) else (vectors, np.zeros(0))
+
+    def part(self, start: int, stop: int) -> Asked:
+        out = Asked.__new__(Asked)
+        out.ids, out.vectors, out.units, out.norms = self.ids[start:stop], self.vectors[start:stop], self.units[start:stop], self.norms[start:stop]
+        return out
+
+
+class Best:
+    """The best `top` candidates so far of some queries: largest score first, then the smaller id."""
+
+    def __init__(self, n: int, top: int):
+        self.scores, self.ids, self.used = np.full((n, top), -np.inf), np.zeros((n, top), np.int64), np.zeros((n, top), bool)
+
+    def least(self, start: int, stop: int) -> np.ndarray:
+        """What a newcomer must reach; anything while places are free."""
+        return np.where(self.used[start:stop, -1], self.scores[start:stop, -1], -np.inf)
+
+    def add(self, start: int, who: np.ndarray, names: np.ndarray, scores: np.ndarray) -> None:
+        touched = np.unique(who)
+        if not len(touched):
+            return
+        old_who, old_at = np.nonzero(self.used[start + touched])
+        old_who = touched[old_who]
+        old_at = start + old_who, old_at
+        who, names, scores = np.concatenate([old_who, who]), np.concatenate([self.ids[old_at], names]), np.concatenate([self.scores[old_at], scores])
+        order = np.lexsort((names, -scores, who))
+        who, names, scores = who[order], names[order], scores[order]
+        first = np.flatnonzero(np.diff(who, prepend=-1))
+        rank = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+        keep = rank < self.ids.shape[1]
+        at = start + who[keep], rank[keep]
+        self.ids[at], self.scores[at], self.used[at] = names[keep], scores[keep], True
+
+    def rows(self, asked: np.ndarray) -> Iterator[pd.DataFrame]:
+        for i in range(0, len(asked), 4096):
+            part = slice(i, i + 4096)
+            held = zip(self.scores[part].tolist(), self.ids[part].tolist(), self.used[part].sum(axis=1).tolist())
+            found = [[{"loss": -s, "vec_id": v} for s, v in zip(a[:n], b)] for a, b, n in held]
+            some = [len(x) > 0 for x in found]
+            if any(some):
+                yield pd.DataFrame({"query_id": asked[part][some], "found": [x for x in found if x]})
+
+
 def _blocks(rows: Iterator[pd.DataFrame], size: int, model: Quantizer | None) -> Iterator[pd.DataFrame]:
     """Blocks of at most size vectors as raw bytes, in order of their ids."""
     for frame in rows:
@@ -166,32 +231,41 @@ def _blocks(rows: Iterator[pd.DataFrame], size: int, model: Quantizer | None) ->
             vectors = np.stack(part["vector"].to_numpy()).astype(np.float64)
             out = {"ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()]}
             if model is not None:
-                out["codes"] = [model.packed(vectors).tobytes()]
+                out["codes"] = [model.packed(directions(vectors)[0]).tobytes()]
                 out["copies"] = [copy_rank(vectors).astype("<u4").tobytes()]
             yield pd.DataFrame(out)
 
 
-def _search(rows: Iterator[pd.DataFrame], model: Quantizer, top: int, rerank: int) -> Iterator[pd.DataFrame]:
+def _meet(block: object, asked: Asked, best: Best, start: int, model: Quantizer, top: int, rerank: int) -> None:
+    """A block of candidates against some queries, whose best begin at `start`."""
+    ids = np.frombuffer(block.ids, np.int64)
+    vectors = np.frombuffer(block.vectors).reshape(len(ids), -1)
+    guess = model.scan(asked.units, np.frombuffer(block.codes, np.uint8).reshape(len(ids), -1))
+    # Of equal vectors only the smaller ids can be among the best, so more copies than that
+    # would take places of the shortlist in vain. The query itself may be one.
+    open_ = (asked.ids[:, None] != ids) & (np.frombuffer(block.copies, "<u4") <= top)
+    who, which, score = best_pairs(asked, vectors, directions(vectors)[1], guess, open_, top, rerank, best.least(start, start + len(asked.ids)))
+    best.add(start, who, ids[which], score)
+
+
+def _search_held(rows: Iterator[pd.DataFrame], queries: Asked, model: Quantizer, top: int, rerank: int, query_block: int) -> Iterator[pd.DataFrame]:
+    """All queries against a task's blocks; the best so far are carried from block to block."""
+    best = Best(len(queries.ids), top)
+    parts = [(i, queries.part(i, i + query_block)) for i in range(0, len(queries.ids), query_block)]
+    for frame in rows:
+        for block in frame.itertuples(index=False):
+            for i, asked in parts:
+                _meet(block, asked, best, i, model, top, rerank)
+    yield from best.rows(queries.ids)
+
+
+def _search_met(rows: Iterator[pd.DataFrame], model: Quantizer, top: int, rerank: int) -> Iterator[pd.DataFrame]:
     for frame in rows:
         for row in frame.itertuples(index=False):
-            ids, asked = np.frombuffer(row.ids, np.int64), np.frombuffer(row.asked, np.int64)
-            vectors = np.frombuffer(row.vectors).reshape(len(ids), -1)
-            queries = np.frombuffer(row.queries).reshape(len(asked), -1)
-            near = model.scan(queries, np.frombuffer(row.codes, np.uint8).reshape(len(ids), -1))
-            near[asked[:, None] == ids] = -np.inf
-            # Of equal vectors only the smaller ids can be among the best, so more copies than
-            # that would take places of the shortlist in vain. The query itself may be one.
-            near[:, np.frombuffer(row.copies, "<u4") > top] = -np.inf
-            who, which, score = best_pairs(queries, vectors, near, top, rerank)
-            names = ids[which]
-            order = np.lexsort((names, -score, who))
-            who, names, score = who[order], names[order], score[order]
-            first = np.flatnonzero(np.diff(who, prepend=-1))
-            keep = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who)))) < top
-            who, names, score = who[keep], names[keep].tolist(), score[keep].tolist()
-            ends = np.searchsorted(who, np.arange(len(asked) + 1)).tolist()
-            found = [[{"loss": -s, "vec_id": v} for s, v in zip(score[a:b], names[a:b])] for a, b in zip(ends, ends[1:])]
-            yield pd.DataFrame({"query_id": asked, "found": found})
+            ids = np.frombuffer(row.asked, np.int64)
+            asked, best = Asked(ids, np.frombuffer(row.queries).reshape(len(ids), -1)), Best(len(ids), top)
+            _meet(row, asked, best, 0, model, top, rerank)
+            yield from best.rows(ids)
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -210,35 +284,53 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return x.groupBy("vec_id").agg(F.max("vector").alias("vector"))
 
 
-def nearest(vectors: DataFrame, asked: str, key: str = "vec_id", column: str = "embedding", top: int = 20, rerank: int = 256, sample: int = 10_000, block: int = 8192, query_block: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, asked: str, key: str = "vec_id", column: str = "embedding", top: int = 20, rerank: int = 256, sample: int = 10_000, block: int = 4096, query_block: int = 256, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The `top` rows of largest inner product for every row that the SQL condition `asked` on vec_id selects.
 
-    The codes are fitted on at most `sample` vectors, chosen by hash of their id, and every
-    vector is coded. Blocks of queries meet blocks of candidates by an equi-join; the tables
-    are scanned, each block's best `rerank`, and all that could still pass them, get exact scores on the original
-    vectors, and the blocks' best are merged in two steps. Returns query_id, rank (from 1), vec_id, score;
-    ties go to the smaller vec_id.
-
-    See usable() for rows that take no part; repeated ids count once; fewer candidates than
-    `top` give fewer rows; an empty table gives none; further columns are ignored.
+    Directions are coded and norms kept, so vectors of any magnitude are coded alike well. The
+    codes are fitted on at most `sample` vectors, chosen by hash of their id, and every vector
+    is coded. Each block of candidates is scanned for blocks of queries by its tables; its best
+    `rerank`, and all that could still pass them or the best of the blocks before, get exact
+    scores on the original vectors, and the tasks' best are merged in two steps. Queries of at
+    most most_broadcast bytes, counted first, are broadcast and nothing but results is
+    shuffled; more of them meet teams of blocks by an equi-join. Either way it is a stated set
+    of queries against all rows. Returns query_id, rank (from 1), vec_id, score; ties go to the
+    smaller vec_id.
+
+    See usable() for rows that take no part; repeated ids count once;
+    fewer candidates than `top` give fewer rows; an empty table gives none; further columns are
+    ignored. Products beyond the range of doubles are infinite, as in any double arithmetic.
     """
     spark = vectors.sparkSession
     rows = written(usable(vectors, key, column), "ann-vectors")
-    count = rows.count()
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    count, n_asked, dims = rows.agg(F.count("*"), F.count_if(F.expr(asked)), F.max(F.size("vector"))).first()
     shape = "query_id long, rank int, vec_id long, score double"
-    if not count:
+    if not n_asked:
         return spark.createDataFrame([], shape)
-    model = spark.sparkContext.broadcast(Quantizer.fit(np.stack(drawn["vector"].to_numpy())))
-    groups = max(1, count // 65536, spark.sparkContext.defaultParallelism)
-    held = rows.mapInPandas(lambda x: _blocks(x, block, model.value), "ids binary, vectors binary, codes binary, copies binary")
-    held = written(held.withColumn("block", F.xxhash64("ids")), "ann-blocks").withColumn("team", F.pmod("block", F.lit(groups)))
-    queries = rows.filter(asked).coalesce(max(1, count // 65536)).mapInPandas(lambda x: _blocks(x, query_block, None), "ids binary, vectors binary")
-    queries = queries.select(F.col("ids").alias("asked"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("team"))
-    met = queries.join(held, "team").select("asked", "queries", "ids", "vectors", "codes", "copies")
-    best = met.mapInPandas(
-        lambda x: _search(x, model.value, top, rerank), "query_id long, found array<struct<loss: double, vec_id: long>>"
-    )
+    # About twice the sample comes to the sort, whatever the number of partitions.
+    share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= F.lit(int(min(1.0, 2.0 * sample / count + 1e-4) * (1 << 30)))
+    drawn = rows.filter(share).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    drawn = drawn if len(drawn) else rows.limit(1).toPandas()
+    model = spark.sparkContext.broadcast(Quantizer.fit(directions(np.stack(drawn["vector"].to_numpy()).astype(np.float64))[0]))
+    lanes = spark.sparkContext.defaultParallelism
+    # A small table is dealt out so that every core has some blocks of it; a large one lies in enough files.
+    small = count < lanes << 16
+    block = max(256, min(block, -(-count // (2 * lanes)))) if small else block
+    tasks = -(-count // block)
+    spread = rows.repartition(tasks) if small else rows
+    held = spread.mapInPandas(lambda x: _blocks(x, block, model.value), "ids binary, vectors binary, codes binary, copies binary")
+    held = written(held.withColumn("block", F.xxhash64("ids")), "ann-blocks")
+    result = "query_id long, found array<struct<loss: double, vec_id: long>>"
+    if n_asked * dims * 8 <= most_broadcast:
+        few = rows.filter(asked).toPandas()
+        queries = spark.sparkContext.broadcast(Asked(few["vec_id"].to_numpy(np.int64), np.stack(few["vector"].to_numpy()).astype(np.float64)))
+        best = (held.repartition(min(tasks, 2 * lanes)) if small else held).mapInPandas(lambda x: _search_held(x, queries.value, model.value, top, rerank, query_block), result)
+    else:
+        groups = max(lanes, count // 65536)
+        queries = rows.filter(asked).coalesce(max(1, count // 65536)).mapInPandas(lambda x: _blocks(x, query_block, None), "ids binary, vectors binary")
+        queries = queries.select(F.col("ids").alias("asked"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("team"))
+        met = queries.join(held.withColumn("team", F.pmod("block", F.lit(groups))), "team").select("asked", "queries", "ids", "vectors", "codes", "copies")
+        best = met.mapInPandas(lambda x: _search_met(x, model.value, top, rerank), result)
     merged = lambda: F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, top).alias("found")
     part = F.pmod(F.xxhash64(F.get("found", F.lit(0))), F.lit(256)).alias("part")
     best = best.groupBy("query_id", part).agg(merged()).groupBy("query_id").agg(merged())

@@ -42,6 +42,43 @@ def test_exact_where_the_shortlist_holds_all(spark):
     assert found(frame(spark, rows), top=6, rerank=200, block=32, query_block=7) == brute(rows, 6)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_large_small_and_mixed_magnitudes(spark, most):
+    """Finite vectors of any magnitude are candidates; fewer than `top` give all of them."""
+    rng = np.random.default_rng(5)
+    draw = lambda i, scale: (i, [float(x) for x in (rng.normal(size=8) * scale).astype(np.float32)])
+    for scales in ([1e20] * 5, [1e-30] * 5, [1e37, 1e-37, 1.0, 1e20, 1e-20]):
+        rows = [draw(i, s) for i, s in enumerate(scales)]
+        got = found(frame(spark, rows), most_broadcast=most)
+        assert got == brute(rows, 20) and {len(x) for x in got.values()} == {4}
+    rows = [draw(i, 10.0 ** rng.integers(-37, 37)) for i in range(300)] + [draw(i, 1.0) for i in range(300, 600)] + [draw(-i, 3.0) for i in range(1, 20)]
+    got, want = found(frame(spark, rows), top=10, block=64, rerank=32, most_broadcast=most), brute(rows, 10)
+    assert sum(len({i for _, i, _ in got[q]} & {i for _, i, _ in want[q]}) for q in want) >= 0.98 * 10 * len(want)
+
+
+def test_doubles_that_overflow_are_ranked(spark):
+    rows = [(0, [1e300] * 8), (5, [1e300] * 8), (7, [1.0] * 8), (8, [-1e300] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(df, "vec_id = 0").orderBy("rank").collect()] == [(0, 5), (0, 7), (0, 8)]
+
+
+def test_recall_at_several_thousand(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 32)) * rng.gamma(4.0, size=(6000, 1))
+    rows = [(i, [float(v) for v in y]) for i, y in enumerate(x.astype(np.float32))]
+    x = x.astype(np.float32).astype(float)
+    near = x[::50] @ x.T
+    near[np.arange(120), np.arange(0, 6000, 50)] = -np.inf
+    want = {q * 50: set(np.argsort(-near[q], kind="stable")[:20].tolist()) for q in range(120)}
+    for most in (1 << 25, 0):
+        got = {}
+        for r in ann.nearest(frame(spark, rows), "vec_id % 50 = 0", most_broadcast=most).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        recall = sum(len(got[q] & want[q]) for q in want) / (20 * len(want))
+        print("recall", recall)
+        assert recall >= 0.95
+
+
 def test_recall(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 8))
