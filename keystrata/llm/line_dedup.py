@@ -2,73 +2,137 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import LOWER, UPPER, ascii_lower, written
+from keystrata.llm.shared import LOWER, UPPER, ascii_lower, new_path, written
 
 #: Stripped at both ends of a line: [\x20\x09-\x0D].
 BLANK = " \t\n\x0b\x0c\r"
+KEY = ["h1", "h2"]
+#: Keys of a bucket of a run, and Spark's most buckets.
+BUCKET_KEYS, MOST_BUCKETS = 1 << 20, 100_000
+#: Most decisions that are broadcast to the lines.
+MOST_BROADCAST = 1 << 17
+
+
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """Spark takes the order of buckets that are one file each as given."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """A run in the shared folder: buckets by key, each sorted. The catalog holds it only to read it once."""
+    spark, name = df.sparkSession, f"line_run_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *KEY).sortBy(*KEY).option("path", new_path(spark, "line-run")).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 class LineRuns:
-    """Runs of (h1, h2, docs, keeper), each sorted by the two halves of a line's hash.
-
-    A batch's keys are merged against all runs: keys in none of them (the anti-join's side) get
-    the batch's largest document as their keeper, keys already there only add to their number
-    of documents. What results is the batch's own run. `fanout` runs of a level are compacted
-    into one run of the next.
+    """Runs of (h1, h2, docs), bucketed and sorted by the two halves of a line's hash.
+
+    Batches come from the largest documents down. A batch's keys are merged with each run in
+    turn, without moving or sorting the run: keys in no run (the anti-join's side) are new, and
+    the batch's largest document keeps their lines; of keys in a run the batch keeps nothing;
+    keys that the runs already hold in enough documents are decided and enter no run any more.
+    What is left becomes the batch's own run. `fanout` runs of a level are merged into one run
+    of the next.
     """
 
-    def __init__(self, fanout: int = 3):
-        self.fanout = fanout
+    def __init__(self, buckets: int, least_docs: int, fanout: int = 3):
+        self.buckets, self.least_docs, self.fanout = buckets, least_docs, fanout
         self.levels: list[list[DataFrame]] = []
+        self.judged: list[DataFrame] = []
+
+    def runs(self) -> list[DataFrame]:
+        return [run for level in reversed(self.levels) for run in level]
 
-    def merged(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        return _compacted(runs) if runs else None
+    def seen(self, own: DataFrame) -> DataFrame:
+        """own with `before`: the documents that the runs hold of its keys, null for new keys."""
+        runs = self.runs()
+        for i, run in enumerate(runs):
+            own = own.join(run.select(*KEY, F.col("docs").alias(f"docs{i}")).hint("merge"), KEY, "left")
+        held = [F.col(f"docs{i}") for i in range(len(runs))]
+        some = F.coalesce(*held).isNotNull() if held else F.lit(False)
+        total = reduce(Column.__add__, (F.coalesce(c, F.lit(0)) for c in held), F.lit(0).cast("long"))
+        return own.withColumn("before", F.when(some, total)).drop(*(f"docs{i}" for i in range(len(runs))))
 
     def add(self, batch: DataFrame) -> None:
         """batch: doc_key, h1, h2 of the eligible lines of documents below all those added before."""
         own = (
-            batch.groupBy("h1", "h2", "doc_key").agg(F.lit(1).alias("one"))
-            .groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_key").alias("last"))
+            batch.groupBy(*KEY, "doc_key").agg(F.lit(1).alias("one"))
+            .groupBy(*KEY).agg(F.count("*").alias("docs"), F.max("doc_key").alias("last"))
+            .repartition(self.buckets, *KEY)
         )
-        known = self.merged()
-        if known is None:
-            run = own.select("h1", "h2", "docs", F.col("last").alias("keeper"))
-        else:
-            seen = known.select("h1", "h2", F.lit(True).alias("seen"))
-            run = own.join(seen.hint("merge"), ["h1", "h2"], "left").select("h1", "h2", "docs", F.when(F.col("seen").isNull(), F.col("last")).alias("keeper"))
-        self._put(0, run)
+        with sorted_buckets(batch.sparkSession):
+            seen = self.seen(own)
+            keeper = F.when(F.col("before").isNull(), F.col("last")).alias("keeper")
+            judged = _bucketed(seen.select(*KEY, "docs", keeper, F.coalesce(F.col("before") >= self.least_docs, F.lit(False)).alias("decided")), self.buckets)
+        self.judged.append(judged)
+        self._put(0, judged.filter(~F.col("decided")).select(*KEY, "docs"))
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(written(run.sortWithinPartitions("h1", "h2"), "line-run"))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, _compacted(full))
+            self._put(level + 1, self._compacted(full))
+
+    def _compacted(self, runs: list[DataFrame]) -> DataFrame:
+        """One run of several, merged bucket by bucket."""
 
+        def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+            both = a.join(b.withColumnRenamed("docs", "more").hint("merge"), KEY, "full")
+            return both.select(*KEY, (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs"))
 
-def _compacted(runs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
+        with sorted_buckets(runs[0].sparkSession):
+            return _bucketed(reduce(merged, runs), self.buckets)
 
+    def decisions(self) -> DataFrame:
+        """h1, h2, batch (from 0, in order of coming) and keeper, of all keys in enough documents.
 
-def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:
+        Lines of the batch with such a key go, except in the keeper; a null keeper keeps none.
+        """
+        total = self.runs()
+        total = self._compacted(total) if len(total) > 1 else total[0]
+        enough = total.filter(F.col("docs") >= self.least_docs).select(*KEY)
+        out = []
+        for i, judged in enumerate(self.judged):
+            late = judged.filter(~F.col("decided")).join(enough.hint("merge"), KEY, "left_semi")
+            out += [x.select(*KEY, F.lit(i).alias("batch"), "keeper") for x in (judged.filter("decided"), late)]
+        with sorted_buckets(total.sparkSession):
+            return written(reduce(DataFrame.unionByName, out), "lines-decided")
+
+
+def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3, batches: int = 4, fanout: int = 3, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Every document without the lines that other documents repeat.
 
     A line's key is the line stripped of ASCII white space at both ends with A-Z lower-cased.
     Keys of at least least_chars code points that at least least_docs documents hold lose their
     lines everywhere but in the largest key's document, which keeps all of them. Batches of
-    documents go from the largest integer key to the smallest. Returns key, n_lines,
-    n_dropped and kept (the other lines, joined by newlines).
-
-    Null and empty texts are one empty line. Rows that repeat a key are one document; rows with
-    a null key neither hold keys nor lose lines. An empty table gives no rows; further columns
-    are ignored.
+    documents go from the largest integer key to the smallest; in each, the merge with the runs
+    of the batches before says which lines are new. Decisions, at most one for each key and
+    batch, are broadcast to the lines while their counted number is at most most_broadcast.
+    Returns key, n_lines, n_dropped and kept (the other lines, joined by newlines).
+
+    Null and empty texts are one empty line; texts may be of any length. Rows that repeat a key
+    are one document; rows with a null key neither hold keys nor lose lines. An empty table
+    gives no rows; further columns are ignored.
     """
     source = docs.select(F.col(key).alias("doc_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     stripped = ascii_lower(F.btrim(F.col("line"), F.lit(BLANK)))
@@ -81,15 +145,16 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
         .select("doc_key", "content", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     )
     cuts = source.select(F.percentile_approx("doc_key", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
-    batch = reduce(lambda x, c: x + (F.col("doc_key") > c).cast("int"), cuts or [], F.lit(0))
+    batch = reduce(lambda x, c: x + (F.col("doc_key") <= c).cast("int"), cuts or [], F.lit(0))
     lines = written(lines.withColumn("batch", batch), "lines", "batch")
-    runs = LineRuns(fanout)
-    for i in reversed(range(batches)):
+    buckets = min(MOST_BUCKETS, max(docs.sparkSession.sparkContext.defaultParallelism, lines.count() // (batches * BUCKET_KEYS)))
+    runs = LineRuns(buckets, least_docs, fanout)
+    for i in range(batches):
         runs.add(lines.filter(F.col("batch") == i))
-    # Written, so that the join below reads two plain shuffles and Spark can split a frequent line's.
-    repeated = written(runs.merged().filter(F.col("docs") >= least_docs).select("h1", "h2", "keeper"), "lines-repeated")
+    decided = runs.decisions()
+    decided = F.broadcast(decided) if decided.count() <= most_broadcast else decided
     gone = (
-        lines.join(repeated, ["h1", "h2"]).filter("doc_key <> keeper")
+        lines.join(decided, [*KEY, "batch"]).filter("keeper IS NULL OR doc_key <> keeper")
         .groupBy("doc_key", "content").agg(F.collect_set("pos").alias("gone"))
     )
     # The lines are a column on this side of the join, so the lambda below reads it in place.
