@@ -63,12 +63,17 @@ def merge_runs(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.
 
 #: What buckets of the index hold: shingle (with its bucket), class, and a range of size codes.
 POSTING = np.dtype([("key", "<u4"), ("name", "<i8"), ("low", "u1"), ("high", "u1")])
-#: What buckets of classes hold: class, set size, a shared shingle's bucket and key, and its classes.
-HELD = np.dtype([("name", "<i8"), ("n", "<u4"), ("bucket", "<u2"), ("key", "<u4"), ("classes", "<u2")])
+#: Documents of a bucket.
+BUCKET_DOCS = 4096
+
+
+def held_type(buckets: int) -> np.dtype:
+    """What buckets of classes hold: class, set size, a shared shingle's bucket and key, and its classes."""
+    return np.dtype([("name", "<i8"), ("n", "<u4"), ("bucket", "<u2" if buckets <= 1 << 16 else "<u4"), ("key", "<u4"), ("classes", "<u2")])
 
 
 def placed(marks: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each shingle and 32 more bits of it; buckets is a power of two up to 2^16."""
+    """The bucket of each shingle and 32 more bits of it; buckets is a power of two up to 2^31."""
     return (marks & np.uint64(buckets - 1)).astype(np.int64), (marks >> np.uint64(32)).astype(np.uint32)
 
 
@@ -134,19 +139,19 @@ def _shared(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     key, name, size = key[once], name[once], size[once]
     _, n = _runs(key)
     n = np.repeat(n, n)
-    held = np.empty(int((n > 1).sum()), HELD)
+    held = np.empty(int((n > 1).sum()), held_type(buckets))
     held["name"], held["n"], held["key"] = name[n > 1], size[n > 1], key[n > 1]
     held["bucket"], held["classes"] = frame["bucket"].iloc[0], np.minimum(n[n > 1], 65535)
     to = (mix(held["name"].view(np.uint64) if held["name"].flags.c_contiguous else held["name"].astype(np.uint64)) & np.uint64(buckets - 1)).astype(np.int64)
     return pd.DataFrame([(b, x.tobytes()) for b, (x,) in _by_bucket(to, held)], columns=["bucket", "payload"])
 
 
-def _prefixes(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _prefixes(frame: pd.DataFrame, percent: int, buckets: int) -> pd.DataFrame:
     """For the classes of a bucket, the shared shingles among the first of their order, dealt out by shingle.
 
     Shingles in one class alone come first and can meet nothing; then those in few classes.
     """
-    x = np.frombuffer(b"".join(frame["payload"]), HELD)
+    x = np.frombuffer(b"".join(frame["payload"]), held_type(buckets))
     x = x[np.lexsort((x["key"], x["bucket"], x["classes"], x["name"]))]
     first, shared = _runs(x["name"])
     size = x["n"][first].astype(np.int64)
@@ -263,33 +268,26 @@ def _marks(rows: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, unit_shingles: int = 1 << 21) -> DataFrame:
-    """key, n_shingles and component_id (the smallest key reachable by links) of every document.
-
-    Two documents link when their sets of k-word shingles have a Jaccard similarity of at least
-    percent / 100; shorter texts are one shingle. Words are cut at ASCII white space and A-Z
-    lower-cased. Null, empty and blank texts have no shingles and link with nothing; repeated
-    rows link with each other; an empty table gives no rows; further columns are ignored. Rows
-    with a null key are searched like all others; a component of such rows alone has a null id.
+def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int, unit_shingles: int, bucket_docs: int, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """All rows as doc_key, content, n_shingles and class; and the classes with several rows or a link.
 
-    A unit of more than unit_shingles is searched in blocks, each with the unit's
-    smallest class; classes left outside the largest component are then searched against
-    every block, so no link is lost and no task holds more than its share.
+    Those have their number of rows as copies, the least class they are connected with as root,
+    and as least their first row: none (whether its key is null), doc_key, content.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("content"))
-    buckets = 1 << min(16, max(4, (docs.count() // 4096).bit_length()))
+    buckets = 1 << min(31, max(4, (docs.count() // bucket_docs).bit_length()))
     kind = source.schema["doc_key"].dataType.simpleString()
     rows = written(source.mapInPandas(lambda x: _classes(x, k), f"doc_key {kind}, content long, n_shingles long, class long"), "ngram-classes")
     lists = source.select("text").filter("text IS NOT NULL").mapInPandas(lambda x: _inverted(x, k, buckets), "bucket int, names binary, sizes binary, keys binary, places binary")
     shared = lists.groupBy("bucket").applyInPandas(lambda x: _shared(x, buckets), "bucket int, payload binary")
-    first = shared.groupBy("bucket").applyInPandas(lambda x: _prefixes(x, percent), "bucket int, payload binary")
+    first = shared.groupBy("bucket").applyInPandas(lambda x: _prefixes(x, percent, buckets), "bucket int, payload binary")
     units = components(first.groupBy("bucket").applyInPandas(_meet, "a long, b long"))
-    sizes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("n_shingles").alias("n"), F.min(F.struct(F.col("doc_key").isNull().alias("none"), "doc_key", "content")).alias("least"))
+    sizes = rows.filter("n_shingles > 0").groupBy("class").agg(F.count("*").alias("copies"), F.min("n_shingles").alias("n"), F.min(F.struct(F.col("doc_key").isNull().alias("none"), "doc_key", "content")).alias("least"))
     members = written(units.withColumnRenamed("node", "class").withColumnRenamed("root", "unit").join(sizes, "class"), "ngram-members")
     one_each = members.select("least.doc_key", "least.content", "class", "unit")
     # Units and links have no more classes than this.
-    small = F.broadcast if members.count() <= MOST_BROADCAST else lambda df: df
+    small = F.broadcast if members.count() <= most_broadcast else lambda df: df
     one_each = small(one_each)
     sets = written(
         source.join(one_each, source["doc_key"].eqNullSafe(one_each["doc_key"]) & (source["content"] == one_each["content"])).select("unit", "class", "text")
@@ -310,10 +308,65 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     split = weighed.filter("blocks > 1").select("unit", "class", "marks", "blocks")
     if not split.isEmpty():
         links = written(links.unionByName(_outside(split, links, unit_shingles).groupBy("task").applyInPandas(seek, "a long, b long")), "ngram-links")
-    linked = small(components(links).withColumnRenamed("node", "class"))
-    placed = rows.join(linked, "class", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "class")))
-    least = placed.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_key").alias("component_id"))
-    return placed.join(least, "root", "left").select(F.col("doc_key").alias(key), "n_shingles", F.coalesce("component_id", "doc_key").alias("component_id"))
+    # Classes first: each has one row, however many copies it has.
+    linked = components(links).withColumnRenamed("node", "class")
+    joined = sizes.join(small(linked), "class", "left").filter("copies > 1 OR root IS NOT NULL")
+    return rows, written(joined.select("class", "copies", F.coalesce("root", "class").alias("root"), "least"), "ngram-joined")
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, unit_shingles: int = 1 << 21, bucket_docs: int = BUCKET_DOCS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """key, n_shingles and component_id (the smallest key reachable by links) of every document.
+
+    Two documents link when their sets of k-word shingles have a Jaccard similarity of at least
+    percent / 100; shorter texts are one shingle. Words are cut at ASCII white space and A-Z
+    lower-cased. Null, empty and blank texts have no shingles and link with nothing; repeated
+    rows link with each other; an empty table gives no rows; further columns are ignored. Rows
+    with a null key are searched like all others; a component of such rows alone has a null id.
+    Texts may be of any length: hashing goes by pieces, and Arrow batches hold few long texts.
+
+    A unit of more than unit_shingles is searched in blocks, each with the unit's
+    smallest class; classes left outside the largest component are then searched against
+    every block, so no link is lost and no task holds more than its share.
+    """
+    rows, joined = _joined(docs, key, text, k, percent, unit_shingles, bucket_docs, most_broadcast)
+    least = joined.groupBy("root").agg(F.count("*").alias("copies"), F.min("least.doc_key").alias("component_id"))
+    named = _looked_up(joined, least, "root", most_broadcast).select("class", "copies", "component_id")
+    found = _looked_up(rows, written(named, "ngram-named"), "class", most_broadcast)
+    return found.select(F.col("doc_key").alias(key), "n_shingles", F.coalesce("component_id", "doc_key").alias("component_id"))
+
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, unit_shingles: int = 1 << 21, bucket_docs: int = BUCKET_DOCS, most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
+    """Which rows go so that one of each component stays: two tables of doc_key and content.
+
+    content is xxhash64 of the text. The first table has the rows to drop. The row that stays
+    has the smallest key, a null one only if there is no other, and of equal keys the smaller
+    content. Rows equal in both are in the second table if they are among those that stay, so
+    that the caller keeps one of them. Texts without shingles are such rows if both are equal.
+    """
+    rows, joined = _joined(docs, key, text, k, percent, unit_shingles, bucket_docs, most_broadcast)
+    least = joined.groupBy("root").agg(F.count("*").alias("copies"), F.min("least").alias("component_id"))
+    named = _looked_up(joined, least, "root", most_broadcast).select("class", "copies", "component_id")
+    found = _looked_up(rows.filter("n_shingles > 0"), written(named, "ngram-named"), "class", most_broadcast).filter("component_id IS NOT NULL")
+    first = F.col("doc_key").eqNullSafe(F.col("component_id.doc_key")) & (F.col("content") == F.col("component_id.content"))
+    found = found.groupBy("doc_key", "content", first.alias("first")).agg(F.count("*").alias("n"))
+    blank = rows.filter("n_shingles = 0").groupBy("doc_key", "content").agg(F.count("*").alias("n")).withColumn("first", F.lit(True))
+    found = written(found.unionByName(blank).filter("NOT first OR n > 1"), "ngram-copies")
+    return found.filter("NOT first").select("doc_key", "content"), found.filter("first").select("doc_key", "content")
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, on: str, most_broadcast: int) -> DataFrame:
+    """rows with component_id from a table of `on`, copies (how many rows have it) and component_id, or null.
+
+    The table is broadcast while its counted number of rows allows it. Beyond that only what
+    has many copies is, which can't be more than most_broadcast rows, and the others, now
+    without a hot one, are shuffled.
+    """
+    if table.count() <= most_broadcast:
+        return rows.join(F.broadcast(table.select(on, "component_id")), on, "left")
+    least = -(-rows.count() // max(1, most_broadcast))
+    hot, cold = (table.filter(x).select(on, "component_id") for x in (F.col("copies") >= least, F.col("copies") < least))
+    others = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, "left")
+    return others.unionByName(rows.join(F.broadcast(hot), on))
 
 
 def _outside(split: DataFrame, links: DataFrame, unit_shingles: int) -> DataFrame:
