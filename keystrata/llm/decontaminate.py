@@ -63,17 +63,10 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 8, k: int = 5) -> DataFrame:
-    """Every document's words that lie in an occurrence of a benchmark window.
+def occurrences(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 8, k: int = 5) -> DataFrame:
+    """doc_key, content (a hash of the text), n_hit, items and full_items of the documents with a hit.
 
-    Words are runs of 0-9, a-z and non-ASCII characters once A-Z are lower-cased. An item's
-    windows are its runs of `window` words; an item with fewer words is one window. Returns
-    key, n_words, n_hit (words inside occurrences), items (ids as strings, sorted) and
-    full_items (those of them with an occurring window of full length).
-
-    Null texts have no words, and items without words match nothing. Rows that repeat a key are
-    judged each by its text; null keys are kept. An empty documents table gives no rows, and an
-    empty benchmark hits nothing. Further columns are ignored.
+    See benchmark_hits(), which has a row for every document.
     """
     span = window - k + 1
     parts = items.select(F.col(item).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).filter(F.size("words") > 0)
@@ -90,10 +83,9 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     marks = [(w, (lambda c, w=w: fingerprints(c, k, span)) if w == window else (lambda c, w=w: F.array_distinct(grams(c, w)))) for w in widths]
     source = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
     identity = F.xxhash64("text").alias("content")
-    counted = source.select("doc_key", identity, F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    none = F.array().cast("array<string>")
     if not marks:
-        none = F.array().cast("array<string>")
-        return counted.select(F.col("doc_key").alias(key), "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("items"), none.alias("full_items"))
+        return source.select("doc_key", identity, F.lit(0).cast("long").alias("n_hit"), none.alias("items"), none.alias("full_items")).limit(0)
     tagged = lambda words: F.concat(*(_tagged(f(words), w) for w, f in marks))
     known = _bounded(written(
         reduce(DataFrame.unionByName, (parts.filter(F.size("words") >= w if w == window else F.size("words") == w).select(F.lit(w).alias("width"), F.explode(f(F.col("words"))).alias("mark")) for w, f in marks)).distinct(),
@@ -126,7 +118,23 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["reach"], x["start"]))).alias("n"), F.greatest(a["reach"], x["end"]).alias("reach")),
         lambda a: a["n"].cast("long"),
     )
-    hits = hits.select("doc_key", "content", covered.alias("n_hit"), "items", "full_items")
+    return hits.select("doc_key", "content", covered.alias("n_hit"), "items", "full_items")
+
+
+def benchmark_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 8, k: int = 5) -> DataFrame:
+    """Every document's words that lie in an occurrence of a benchmark window.
+
+    Words are runs of 0-9, a-z and non-ASCII characters once A-Z are lower-cased. An item's
+    windows are its runs of `window` words; an item with fewer words is one window. Returns
+    key, n_words, n_hit (words inside occurrences), items (ids as strings, sorted) and
+    full_items (those of them with an occurring window of full length).
+
+    Null texts have no words, and items without words match nothing. Rows that repeat a key are
+    judged each by its text; null keys are kept; texts may be of any length. An empty documents
+    table gives no rows, and an empty benchmark hits nothing. Further columns are ignored.
+    """
+    counted = docs.select(F.col(key).alias("doc_key"), F.xxhash64(text).alias("content"), F.size(words_of(F.col(text))).cast("long").alias("n_words"))
+    hits = occurrences(docs, items, key, text, item, item_text, window, k)
     none = F.array().cast("array<string>")
     return counted.join(hits, counted["doc_key"].eqNullSafe(hits["doc_key"]) & (counted["content"] == hits["content"]), "left").select(
         counted["doc_key"].alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
@@ -88,42 +88,54 @@ class _Ready(dict):
         return at
 
 
+def _judged(texts: Iterable[str | None], model: Backoff, ready: list[_Ready]) -> tuple[list[str], list[float]]:
+    """Language and score of each text; ready holds the words kept so far."""
+    names, scores = [], []
+    for text in texts:
+        words = LETTERS.findall(text.lower()) if text else []
+        if not model.langs or not any(c.isalpha() for w in words for c in w):
+            names.append(UNDETERMINED)
+            scores.append(0.0)
+            continue
+        at = np.fromiter(map(ready[0].__getitem__, words), np.int64, len(words))
+        total = ready[0].rows[at].sum(axis=0)
+        best = int(np.argmax(total))  # ties go to the first name
+        names.append(model.langs[best])
+        scores.append(float(1 / np.exp(total - total[best]).sum()))
+        if len(ready[0]) > READY:
+            ready[0] = _Ready(model)
+    return names, scores
+
+
 def _predicted(rows: Iterator[pd.DataFrame], model: Backoff) -> Iterator[pd.DataFrame]:
-    ready = _Ready(model)
+    ready = [_Ready(model)]
     for frame in rows:
-        names, scores = [], []
-        for text in frame["text"]:
-            words = LETTERS.findall(text.lower()) if text else []
-            if not model.langs or not any(c.isalpha() for w in words for c in w):
-                names.append(UNDETERMINED)
-                scores.append(0.0)
-                continue
-            at = np.fromiter(map(ready.__getitem__, words), np.int64, len(words))
-            total = ready.rows[at].sum(axis=0)
-            best = int(np.argmax(total))  # ties go to the first name
-            names.append(model.langs[best])
-            scores.append(float(1 / np.exp(total - total[best]).sum()))
-            if len(ready) > READY:
-                ready = _Ready(model)
+        names, scores = _judged(frame["text"], model, ready)
         yield pd.DataFrame({"doc_key": frame["doc_key"], "lang_pred": names, "score": scores})
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1500, least: int = 2) -> Backoff:
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 1500, least: int = 2, language_bytes: int = 16 << 20) -> Backoff:
     """A model from at most per_language labelled documents of each language, chosen by hash of the key.
 
-    Words and n-grams seen fewer than `least` times in one language's sample are left out.
+    They are taken in order of that hash while they have at most language_bytes of text
+    together, and one at least, so what comes to the driver is bounded for each language. Words
+    and n-grams seen fewer than `least` times in one language's sample are left out. Rows
+    without key, text or label aren't learned from; of rows that repeat a key and label the
+    least text counts; further columns are ignored.
     """
     rows = labelled.select(F.col(key).alias("doc_key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("doc_key IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "doc_key"))
+    order = Window.partitionBy("lang").orderBy("mark", "doc_key")
     # About twice the wanted share of each language is ranked, so no task ranks all of a language.
     shares = rows.groupBy("lang").agg(F.count("*").alias("n")).withColumn("most", F.lit(2.0 * per_language * (1 << 20)) / F.col("n"))
     shares = F.broadcast(shares) if shares.count() <= 1 << 16 else shares
-    drawn = rows.select("doc_key", "lang", F.xxhash64("doc_key").alias("mark")).join(shares, "lang").filter(F.pmod("mark", F.lit(1 << 20)) <= F.col("most"))
-    chosen = drawn.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_key").distinct()
+    drawn = rows.select("doc_key", "lang", F.xxhash64("doc_key").alias("mark"), F.octet_length("text").alias("bytes")).join(shares, "lang").filter(F.pmod("mark", F.lit(1 << 20)) <= F.col("most"))
+    drawn = drawn.groupBy("doc_key", "lang", "mark").agg(F.min("bytes").cast("long").alias("bytes"))
+    ranked = drawn.withColumn("rank", F.row_number().over(order)).withColumn("so_far", F.sum("bytes").over(order))
+    chosen = ranked.filter((F.col("rank") == 1) | ((F.col("rank") <= per_language) & (F.col("so_far") <= language_bytes))).select("doc_key", "lang")
     if chosen.count() <= 1 << 20:
         chosen = F.broadcast(chosen)
     tallies = (
-        rows.join(chosen, "doc_key", "left_semi").select("lang", "text")
+        rows.join(chosen, ["doc_key", "lang"], "left_semi").groupBy("doc_key", "lang").agg(F.min("text").alias("text")).select("lang", "text")
         .mapInPandas(_tallies, "size int, token string, lang string, n long")
         .groupBy("size", "token", "lang").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     )
@@ -134,8 +146,9 @@ def predict(docs: DataFrame, model: Backoff, key: str = "doc_id", text: str = "t
     """key, lang_pred and score (the posterior under equal priors) of every whole text.
 
     Null texts and texts without a letter are `und` with score 0; ties go to the language of
-    the smaller name; repeated rows are each judged; an empty table gives no rows; further
-    columns are ignored. A model without languages calls every text `und`.
+    the smaller name; texts may be of any length; repeated rows are each judged, null keys are
+    kept; an empty table gives no rows; further columns are ignored. A model without languages
+    calls every text `und`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
@@ -144,16 +157,28 @@ def predict(docs: DataFrame, model: Backoff, key: str = "doc_id", text: str = "t
     return out.withColumnRenamed("doc_key", key)
 
 
-def letterless(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The keys of null texts and of texts without a letter, whatever the languages."""
+def judgement(spark: SparkSession, model: Backoff, text: Column) -> Column:
+    """lang_pred and score of a text as a struct, by predict()'s rules, for filters that need no join."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def found(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            yield frame.loc[[not any(c.isalpha() for c in x or "") for x in frame["text"]], ["doc_key"]]
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ready = [_Ready(shared.value)]
+        for texts in batches:
+            names, scores = _judged(texts, shared.value, ready)
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    source = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
-    kind = source.schema["doc_key"].dataType.simpleString()
-    return source.mapInPandas(found, f"doc_key {kind}").withColumnRenamed("doc_key", key)
+    # So that it is evaluated once for a row, wherever its result is used.
+    return F.pandas_udf(judged, "lang_pred string, score double").asNondeterministic()(text)
+
+
+def letters_in(text: Column) -> Column:
+    """Whether a text has a letter, whatever the languages; false for null."""
+
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([any(c.isalpha() for c in x or "") for x in texts], dtype=bool)
+
+    return F.pandas_udf(found, "boolean")(text)
 
 
 def held_out(key: str = "doc_id"):
