@@ -1,66 +1,83 @@
-"""Training-data pipeline over documents: each stage reads what its predecessor wrote."""
+"""Training-data pipeline over documents: each stage reads what its predecessor wrote.
+
+Rows are told apart by doc_id and a hash of the text, since a doc_id may be null or stand on many
+texts. Stages filter rows in place, or by a join with the rows that go, so that texts are
+shuffled only when they are written in order of their doc_id. Texts may be of any length, and
+documents may have further columns of any name, which are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import decontaminate, language, mixing, ngram_join, token_store
 from keystrata.llm.shared import table, written
 
-
-#: Each row's own id within a stage; stages drop rows by it, since a doc_id may be null or stand on many texts.
-ROW = "stage_row"
+#: Most rows to drop that are broadcast; more are shuffled to the documents.
+MOST_BROADCAST = 1 << 20
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with ROW, written so that it stays the same each time it is read."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "stage-rows")
+def _content() -> Column:
+    return F.xxhash64("text")
 
 
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    return rows.join(gone.select(ROW), ROW, "left_anti").drop(ROW)
+def _listed(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs with or without the listed rows, by content and, where it is listed, doc_key; null equals null."""
+    rows = rows.toDF(*(f"listed_{c}" for c in rows.columns))
+    rows = F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+    own = {"listed_content": _content(), "listed_doc_key": F.col("doc_id")}
+    return docs.join(rows, [own[c].eqNullSafe(F.col(c)) for c in rows.columns], how)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops null texts and those without a letter, and fills a null lang; with no language to fit, lang stays."""
-    rows = _numbered(docs)
-    model = language.fit(rows)
+    """Drops what has no language, and gives every other document the language that the model reads.
+
+    The labels only teach the model: where they are missing or wrong for a text, the later
+    stages, which mix by language, go by the prediction. Null texts and texts without a letter
+    go. With no label to learn from, texts with letters stay as they are. A null or repeated
+    doc_id changes nothing, since each row is judged by its own text; no rows give no rows.
+    """
+    marked = docs.select("text", "lang", _content().alias("mark"))
+    model = language.fit(marked, key="mark")
     if not model.langs:
-        return _without(rows, language.letterless(rows, key=ROW))
-    found = language.predict(rows, model, key=ROW).filter(F.col("lang_pred") != language.UNDETERMINED)
-    return rows.join(found, ROW).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+        return docs.filter(language.letters_in(F.col("text")))
+    judged = docs.withColumn("stage_judged", language.judgement(spark, model, F.col("text")))
+    kept = judged.filter(F.col("stage_judged.lang_pred") != language.UNDETERMINED)
+    return kept.withColumn("lang", F.col("stage_judged.lang_pred")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row with the smallest doc_id of each group of near copies, a null one only if there is no other.
 
-    Texts without shingles are copies of each other if doc_id and text are equal.
+    Of rows with one doc_id in a group the one with the smaller hash of its text stays, of rows
+    that are equal in both the least by their other columns. Texts without words are copies of
+    each other if doc_id and text are equal. No rows give no rows.
     """
-    rows = _numbered(docs)
-    found = ngram_join.near_classes(rows, key=ROW, k=5, percent=80)
-    blank = lambda c: F.when(F.col("n_shingles") == 0, F.col(c))
-    group = [F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"), blank("doc_id").alias("blank_id"), blank("text").alias("blank_text")]
-    found = written(found.join(rows.select(ROW, "doc_id", F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).alias("text")), ROW).select(ROW, "doc_id", *group), "near-copies")
-    first = found.groupBy("component", "blank_id", "blank_text").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("least"))
-    return _without(rows, found.join(first.select(f"least.{ROW}"), ROW, "left_anti"))
+    gone, twice = ngram_join.copies(docs, k=5, percent=80)
+    kept = _listed(docs, gone, "left_anti")
+    if twice.isEmpty():
+        return kept
+    again = _listed(kept, twice, "left_semi").groupBy("doc_id", _content()).agg(F.min(F.struct(*docs.columns)).alias("whole")).select("whole.*")
+    return _listed(kept, twice, "left_anti").unionByName(again)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a full window of a benchmark item, or with two items that are shorter."""
-    rows = _numbered(docs)
-    found = decontaminate.benchmark_hits(rows, table(spark, sf_dir, "benchmark"), key=ROW)
-    return _without(rows, found.filter((F.size("full_items") > 0) | (F.size("items") > 1)))
+    """Drops documents with a full window of a benchmark item, or with two items that are shorter.
+
+    Equal texts share their fate, whatever their doc_id. No rows give no rows.
+    """
+    found = decontaminate.occurrences(docs.select(_content().alias("mark"), "text"), table(spark, sf_dir, "benchmark"), key="mark")
+    return _listed(docs, written(found.filter((F.size("full_items") > 0) | (F.size("items") > 1)).select("content").distinct(), "contaminated"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the calibrated sample takes."""
-    rows = _numbered(docs)
-    return _without(rows, mixing.mix(rows, row=ROW).filter(~F.col("kept")))
+    """Keeps the documents that the calibrated sample takes; rows of one doc_id and text share their fate."""
+    return mixing.sample(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes token shards; where each document lies in them."""
+    """Writes token shards; doc_id, start, n_tokens and ids_crc32 of each row in them, null doc_ids first."""
     import public_tokenizers
 
     # Workers come from the stages before and hold memory of theirs.
