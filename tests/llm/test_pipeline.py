@@ -3,9 +3,11 @@ import random
 import pytest
 
 import corpus_pipeline
-from keystrata.llm import mixing
+from keystrata.llm import language, mixing
+from pyspark.sql import functions as F
 
 from test_decontaminate import brute as brute_hits
+from test_mixing import brute as brute_mix
 from test_ngram_join import brute as brute_near
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -25,21 +27,26 @@ def folder(spark, docs, tmp_path):
     return str(tmp_path), rows, items
 
 
-def test_run_against_brute_force(spark, folder):
+def test_run_against_brute_force(spark, docs, folder):
     from tokenizers import Tokenizer
 
     path, rows, items = folder
+    every = spark.read.parquet(f"{path}/documents.parquet")
+    model = language.fit(every.withColumn("mark", F.xxhash64("text")), key="mark")
+    langs = {r["doc_id"]: r["lang_pred"] for r in language.predict(every, model).collect()}
     texts = {r[0]: r[1] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
+    assert {i for i in langs if langs[i] != "und"} == set(texts)
     near = brute_near(list(texts.items()), 5, 80)
     texts = {i: t for i, t in texts.items() if near[i][1] == i}
     hits = brute_hits(list(texts.items()), items)
     texts = {i: t for i, t in texts.items() if not hits[i][2]}
     assert not set(range(200, 210)) & set(texts) and len(texts) > 40
-    left = spark.read.parquet(f"{path}/documents.parquet").filter(f"doc_id IN ({','.join(map(str, texts))})")
-    texts = {r["doc_id"]: texts[r["doc_id"]] for r in mixing.mix(left).collect() if r["kept"]}
+    source = {r[0]: r[3] for r in rows}
+    left = [(i, t, langs[i], source[i]) for i, t in texts.items()]
+    kept = {x[0] for x in brute_mix(left, mixing.fit_topics(docs(*left))) if x[6]}
     encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode
     at, want = 0, {}
-    for i in sorted(texts):
+    for i in sorted(kept):
         n = len(encode(texts[i], add_special_tokens=False).ids) + 1
         want[i], at = (at, n), at + n
     assert {r["doc_id"]: (r["start"], r["n_tokens"]) for r in corpus_pipeline.run(spark, path).collect()} == want
@@ -90,9 +97,27 @@ def test_mixing_draws_by_row(spark, folder, docs):
     assert {r["doc_id"] for r in kept} == {None, 7} and any(0 < r["count"] < held[r["doc_id"], r["source"], r["lang"]] for r in kept)
 
 
-def test_language_without_labels_and_filled(spark, folder, docs):
+def test_the_model_decides_the_language(spark, folder, docs):
     path, _, _ = folder
     got = lambda *rows: sorted((r["doc_id"], r["lang"]) for r in corpus_pipeline.identify_language(spark, docs(*rows), path).collect())
     assert got((1, "words but no label"), (2, "12 34"), (3, None)) == [(1, None)]
     de, en = "der fluss und der berg", "the river and the hill"
-    assert got(*((i, de if i % 2 else en, "de" if i % 2 else "en") for i in range(6)), (6, "der berg"), (7, "the hill"), (8, "12", "en"))[6:] == [(6, "de"), (7, "en")]
+    rows = [(i, f"{de if i % 2 else en} {'xy'[i // 2 % 2] * (i + 1)}", "de" if i % 2 else "en") for i in range(12)]
+    found = dict(got(*rows, (20, "der berg"), (21, "the hill"), (22, "12", "en"), (23, "der fluss und der berg heute", "en")))
+    assert found == {i: "de" if i % 2 else "en" for i in range(12)} | {20: "de", 21: "en", 23: "de"}
+
+
+def test_predicted_languages_are_mixed(spark, docs):
+    """Wrong labels of the mixing stage's input would change the cells, so the output follows the model."""
+    rows = [(i, f"text {'long ' * (i % 7)}{i}", "en" if i % 3 else "de", "a" if i % 5 else "b") for i in range(300)]
+    one, other = (sorted(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs(*x), "").collect()) for x in (rows, [(*r[:2], "en", r[3]) for r in rows]))
+    assert one != other
+
+
+def test_further_columns_and_long_texts(spark, folder, docs):
+    path, _, _ = folder
+    extra = docs((1, "some words of a short text", "en", "a"), (2, "very long words " * 500_000, "en", "a")).withColumn("content", F.lit("c")).withColumn("kept", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("stage_row", F.lit(3))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, extra, path)
+        assert out.columns == extra.columns and sorted(r["doc_id"] for r in out.select("doc_id").collect()) == [1, 2]
+    assert corpus_pipeline.mix_sources(spark, extra, path).columns == extra.columns
