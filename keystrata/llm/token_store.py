@@ -1,9 +1,12 @@
 """Token ids of documents in raw binary shards with a minimal perfect hash index.
 
-A shard is two files. `.ids` holds all its ids one after another, little-endian and unsigned, two
-bytes each if the vocabulary allows it and four if not. `.idx` is a JSON line (keys in order and
-sizes), then the bits of the perfect hash by level, then for each slot a fingerprint (4 bytes),
-the offset in ids (8 bytes) and the number of ids (8 bytes).
+A shard is three files. `.ids` holds all its ids one after another, little-endian and unsigned,
+two bytes each if the vocabulary allows it and four if not. `.keys` has a JSON string or null a
+line, in order of the ids. `.idx` is what keyed access needs, each part at a place that follows
+from the header: HEADER; the bits of each level of the perfect hash; then the blocks of all
+levels, 512 bits with the number of bits set before them; then for each slot a fingerprint,
+the offset in ids and the number of ids. A lookup reads the header once, then one block a level
+and one slot, whatever the number of keys.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import sys
 import uuid
 import zlib
@@ -20,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +40,15 @@ LETTER = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c not in "
 WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\\[-`{-~]+)?").fullmatch
 #: Ids that are read at once.
 TOGETHER = 1 << 20
-#: Bits of a level of the perfect hash for each key that reaches it.
-ROOM = 2
+#: Bits of a level of the perfect hash for each key that reaches it, and bits of a block.
+ROOM, BLOCK = 2, 512
+#: Magic, keys, salt, bytes of an id, levels; then the bits of each level.
+HEADER, LEVEL = struct.Struct("<8sQQII"), struct.Struct("<Q")
+MAGIC = b"tokshard"
+BITS = np.dtype([("before", "<u8"), ("bits", "u1", BLOCK // 8)])
+SLOT = np.dtype([("mark", "<u4"), ("start", "<u8"), ("n", "<u8")])
+#: Names that the file systems of this machine's library have for those of Spark.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 class _Ready(dict):
@@ -161,13 +173,22 @@ class PerfectHash:
     def of(cls, keys: np.ndarray) -> PerfectHash:
         levels = []
         while len(keys):
-            size = -(-len(keys) * ROOM // 8) * 8
+            size = -(-len(keys) * ROOM // BLOCK) * BLOCK
             place = cls._place(keys, len(levels), size)
             alone = np.bincount(place, minlength=size) == 1
             levels.append(alone)
             keys = keys[~alone[place]]
         return cls(levels)
 
+    def blocks(self) -> np.ndarray:
+        """The bits of all levels by block, with the number of bits set before each."""
+        parts = []
+        for bits, rank in zip(self.levels, self.ranks):
+            part = np.empty(len(bits) // BLOCK, BITS)
+            part["before"], part["bits"] = rank[:-1:BLOCK], np.packbits(bits).reshape(-1, BLOCK // 8)
+            parts.append(part)
+        return np.concatenate(parts) if parts else np.empty(0, BITS)
+
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; -1 or any slot for a key that isn't there."""
         out = np.full(len(keys), -1, np.int64)
@@ -187,77 +208,127 @@ def _hashes(keys: Sequence[tuple[str | None, int]], salt: int) -> tuple[np.ndarr
     return whole["key"].copy(), whole["mark"].copy()
 
 
+def _numbered(keys: Iterable[str | None]) -> list[tuple[str | None, int]]:
+    """Keys with their occurrence; equal keys are neighbours."""
+    out, seen, last = [], 0, object()
+    for key in keys:
+        seen = seen + 1 if key == last else 0
+        out.append((key, seen))
+        last = key
+    return out
+
+
 def _index(keys: list[str | None], starts: np.ndarray, counts: np.ndarray, width: int) -> bytes:
-    """The bytes of `.idx`. Equal keys, which must be neighbours, are told apart by occurrence."""
-    numbered, seen = [], 0
-    for i, key in enumerate(keys):
-        seen = seen + 1 if i and key == keys[i - 1] else 0
-        numbered.append((key, seen))
+    """The bytes of `.idx`. Equal keys are told apart by occurrence."""
+    numbered = _numbered(keys)
     salt = 0
     while len(np.unique((found := _hashes(numbered, salt))[0])) < len(keys):
         salt += 1
     hashed, marks = found
     table = PerfectHash.of(hashed)
     slot = table.slots(hashed)
-    by_slot = np.empty(len(keys), np.dtype([("mark", "<u4"), ("start", "<u8"), ("n", "<u8")]))
+    by_slot = np.empty(len(keys), SLOT)
     by_slot["mark"][slot], by_slot["start"][slot], by_slot["n"][slot] = marks, starts, counts
-    head = json.dumps({"keys": keys, "salt": salt, "width": width, "levels": [len(x) for x in table.levels]})
-    return b"\n".join([head.encode(), b"".join(np.packbits(x).tobytes() for x in table.levels) + by_slot["mark"].tobytes() + by_slot["start"].tobytes() + by_slot["n"].tobytes()])
+    head = HEADER.pack(MAGIC, len(keys), salt, width, len(table.levels)) + b"".join(LEVEL.pack(len(x)) for x in table.levels)
+    return head + table.blocks().tobytes() + by_slot.tobytes()
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path that Spark names, and the path in it.
+
+    Local, S3, HDFS, Google and Azure stores are known, under Spark's names for them, as far as
+    this machine's library was built with them; others raise an error that names the scheme.
+    """
+    scheme, sep, rest = uri.partition("://")
+    try:
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{sep}{rest}")
+    except (pa.ArrowInvalid, NotImplementedError) as e:
+        raise ValueError(f"token shards can't be written to a {scheme} path; name another folder") from e
 
 
 class Shard:
-    """Keyed reads of a shard: a hash, a fingerprint and one seek for each key."""
+    """Keyed reads of a shard: a block a level, a fingerprint and one seek into the ids for each key."""
 
     def __init__(self, fs: pafs.FileSystem, path: str):
-        head, _, rest = fs.open_input_file(f"{path}.idx").read().partition(b"\n")
-        head = json.loads(head)
-        self.keys, self.salt, self.width = head["keys"], head["salt"], head["width"]
-        levels, at, n = [], 0, len(self.keys)
-        for size in head["levels"]:
-            levels.append(np.unpackbits(np.frombuffer(rest, np.uint8, size // 8, at)).astype(bool))
-            at += size // 8
-        self.table = PerfectHash(levels)
-        self.marks = np.frombuffer(rest, "<u4", n, at)
-        self.starts = np.frombuffer(rest, "<u8", n, at + 4 * n)
-        self.counts = np.frombuffer(rest, "<u8", n, at + 12 * n)
-        self.ids = fs.open_input_file(f"{path}.ids")
-
-    def find(self, keys: Sequence[tuple[str | None, int]]) -> np.ndarray:
-        """The slot of each key and occurrence, -1 for those whose fingerprint differs."""
-        hashed, marks = _hashes(keys, self.salt)
-        slot = self.table.slots(hashed)
-        if not len(self.marks):
-            return slot
-        return np.where((slot >= 0) & (self.marks[slot] == marks), slot, -1)
-
-    def read(self, slot: int) -> np.ndarray:
-        self.ids.seek(int(self.starts[slot]) * self.width)
-        return np.frombuffer(self.ids.read(int(self.counts[slot]) * self.width), f"<u{self.width}").astype("<u4")
+        self.fs, self.path = fs, path
+        self.idx, self.ids = fs.open_input_file(f"{path}.idx"), fs.open_input_file(f"{path}.ids")
+        magic, self.n, self.salt, self.width, levels = HEADER.unpack(self.idx.read(HEADER.size))
+        if magic != MAGIC:
+            raise ValueError(f"{path}.idx isn't an index")
+        sizes = [LEVEL.unpack(self.idx.read(LEVEL.size))[0] for _ in range(levels)]
+        at = HEADER.size + levels * LEVEL.size
+        self.levels = []
+        for size in sizes:
+            self.levels.append((size, at))
+            at += size // BLOCK * BITS.itemsize
+        self.slots_at = at
+
+    def __enter__(self) -> Shard:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        self.idx.close()
+        self.ids.close()
+
+    def _read(self, at: int, kind: np.dtype, n: int = 1) -> np.ndarray:
+        self.idx.seek(at)
+        return np.frombuffer(self.idx.read(kind.itemsize * n), kind)
+
+    def find(self, key: str | None, occurrence: int = 0) -> tuple[int, int] | None:
+        """Offset and number of a document's ids; None for a key whose fingerprint isn't there."""
+        hashed, mark = _hashes([(key, occurrence)], self.salt)
+        for level, (size, at) in enumerate(self.levels):
+            block, bit = divmod(int(PerfectHash._place(hashed, level, size)[0]), BLOCK)
+            held = self._read(at + block * BITS.itemsize, BITS)[0]
+            bits = np.unpackbits(held["bits"])
+            if bits[bit]:
+                slot = self._read(self.slots_at + (int(held["before"]) + int(bits[:bit].sum())) * SLOT.itemsize, SLOT)[0]
+                return (int(slot["start"]), int(slot["n"])) if slot["mark"] == mark[0] else None
+        return None
+
+    def read(self, start: int, n: int) -> np.ndarray:
+        self.ids.seek(start * self.width)
+        return np.frombuffer(self.ids.read(n * self.width), f"<u{self.width}").astype("<u4")
+
+    def get(self, key: str | None, occurrence: int = 0) -> np.ndarray | None:
+        """The ids of a document, None for a key that isn't there."""
+        found = self.find(key, occurrence)
+        return None if found is None else self.read(*found)
+
+    def _table(self) -> tuple[PerfectHash, np.ndarray]:
+        """The whole index, for reads of all keys."""
+        levels = [np.unpackbits(self._read(at, BITS, size // BLOCK)["bits"].reshape(-1)).astype(bool) for size, at in self.levels]
+        return PerfectHash(levels), self._read(self.slots_at, SLOT, self.n)
+
+    def keys(self) -> list[str | None]:
+        with self.fs.open_input_file(f"{self.path}.keys") as f:
+            return [json.loads(x) for x in f.read().split(b"\n")[:-1]]
 
     def in_order(self) -> Iterator[tuple[str | None, int, np.ndarray]]:
         """key, start and ids of every document, each found by its key."""
-        numbered, seen = [], 0
-        for i, key in enumerate(self.keys):
-            seen = seen + 1 if i and key == self.keys[i - 1] else 0
-            numbered.append((key, seen))
-        slots = self.find(numbered)
-        if (slots < 0).any():
+        keys = self.keys()
+        hashed, marks = _hashes(_numbered(keys), self.salt)
+        table, by_slot = self._table()
+        slots = table.slots(hashed)
+        if (slots < 0).any() or (by_slot["mark"][slots] != marks).any():
             raise ValueError("a key of the shard isn't in its index")
-        starts, counts = self.starts[slots].astype(np.int64), self.counts[slots].astype(np.int64)
+        starts, counts = by_slot["start"][slots].astype(np.int64), by_slot["n"][slots].astype(np.int64)
         i = 0
         while i < len(slots):
             # Neighbours in the file are read together, up to a bound or one document.
             j = max(i + 1, int(np.searchsorted(starts, starts[i] + TOGETHER)))
-            self.ids.seek(int(starts[i]) * self.width)
-            ids = np.frombuffer(self.ids.read(int(starts[j - 1] + counts[j - 1] - starts[i]) * self.width), f"<u{self.width}").astype("<u4")
+            ids = self.read(int(starts[i]), int(starts[j - 1] + counts[j - 1] - starts[i]))
             for n in range(i, j):
                 at = int(starts[n] - starts[i])
-                yield self.keys[n], int(starts[n]), ids[at : at + int(counts[n])]
+                yield keys[n], int(starts[n]), ids[at : at + int(counts[n])]
             i = j
 
 
 def _write_shard(rows: Iterator[pd.DataFrame], folder: str, tokenizer: str, end: int, width: int, ready: int) -> Iterator[pd.DataFrame]:
-    fs, base = pafs.FileSystem.from_uri(folder)
+    fs, base = file_system(folder)
     name = f"{base}/shard-{TaskContext.get().partitionId():06d}"
     draft = f"{name}.{uuid.uuid4().hex}"
     encoder = _encoder(tokenizer, f"<u{width}", ready)
@@ -279,19 +350,23 @@ def _write_shard(rows: Iterator[pd.DataFrame], folder: str, tokenizer: str, end:
         return
     out.close()
     n = np.array(counts, np.uint64)
+    with fs.open_output_stream(f"{draft}.keys") as f:
+        for i in range(0, len(keys), 1 << 16):
+            f.write(b"".join(json.dumps(k).encode() + b"\n" for k in keys[i : i + (1 << 16)]))
     with fs.open_output_stream(f"{draft}.idx") as f:
         f.write(_index(keys, np.cumsum(n) - n, n, width))
     # A second attempt writes the same bytes; each file appears whole.
-    for part in ("ids", "idx"):
+    for part in ("ids", "keys", "idx"):
         fs.move(f"{draft}.{part}", f"{name}.{part}")
     yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "path": [name], "n_docs": [len(keys)], "n_ids": [int(n.sum())]})
 
 
 def _read_shards(rows: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
-    fs, _ = pafs.FileSystem.from_uri(folder)
+    fs, _ = file_system(folder)
     for frame in rows:
         for path, before in zip(frame["path"], frame["before"]):
-            found = [(key, before + start, len(ids), zlib.crc32(ids.tobytes())) for key, start, ids in Shard(fs, path).in_order()]
+            with Shard(fs, path) as shard:
+                found = [(key, before + start, len(ids), zlib.crc32(ids.tobytes())) for key, start, ids in shard.in_order()]
             yield pd.DataFrame(found, columns=["doc_key", "start", "n_tokens", "ids_crc32"])
 
 
@@ -300,19 +375,23 @@ def write_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
     The manifest has shard, path, n_docs, n_ids and before (ids in all shards before it). Null
     texts are empty, so only the end id stands for them; null keys come first; rows that repeat
-    a key stay neighbours in one shard, in order of their text's hash, and are told apart by
-    occurrence. An empty table gives an empty manifest; further columns are ignored.
+    a key are neighbours, in order of their text's hash, and are told apart by occurrence. A
+    key on very many rows goes on in the next shard, where its occurrences are counted anew, so
+    no shard is larger for it. Texts may be of any length: a few are encoded at a time. An
+    empty table gives an empty manifest; further columns are ignored.
     """
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    fs, base = pafs.FileSystem.from_uri(folder)
+    fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
     width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else 4
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     parts = shards or max(1, source.rdd.getNumPartitions())
-    ordered = source.repartitionByRange(parts, "k").sortWithinPartitions("k", F.xxhash64("text"))
+    # The row's place cuts a key, and even equal rows, that would fill a shard.
+    tied = source.withColumn("h", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())
+    ordered = tied.repartitionByRange(parts, "k", "h", "at").sortWithinPartitions("k", "h", "at")
     made = written(
         ordered.select(F.col("k").cast("string").alias("doc_key"), "text")
         .mapInPandas(lambda rows: _write_shard(rows, folder, tokenizer, end, width, ready), "shard int, path string, n_docs long, n_ids long"),

@@ -1,7 +1,6 @@
 import zlib
 
 import numpy as np
-import pyarrow.fs as pafs
 import pytest
 
 from keystrata.llm import token_store as ts
@@ -61,12 +60,74 @@ def test_round_trip(docs, plain):
 
 def test_keyed_reads(spark, docs, plain):
     folder, manifest = ts.write_tokens(docs(*TEXTS), PATH, shards=3)
-    fs, _ = pafs.FileSystem.from_uri(folder)
-    shards = [ts.Shard(fs, r["path"]) for r in manifest.collect()]
-    assert sum(len(s.keys) for s in shards) == len(TEXTS)
-    for shard in shards:
-        assert [shard.read(s).tolist() for s in shard.find([(k, 0) for k in shard.keys])] == [[*plain(TEXTS[int(k)]), 2] for k in shard.keys]
-        assert (shard.find([(f"no-{i}", 0) for i in range(200)]) == -1).all()
+    fs, _ = ts.file_system(folder)
+    found = {}
+    for row in manifest.collect():
+        with ts.Shard(fs, row["path"]) as shard:
+            assert [k for k, _, _ in shard.in_order()] == shard.keys()
+            found |= {k: shard.get(k).tolist() for k in shard.keys()}
+            assert [shard.get(f"no-{i}") for i in range(200)] == [None] * 200 and shard.get(shard.keys()[0], 1) is None
+        assert shard.ids.closed and shard.idx.closed
+    assert found == {str(i): [*plain(t), 2] for i, t in enumerate(TEXTS)}
+
+
+class Counting:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, f):
+        self.f, self.n, self.reads = f, 0, 0
+
+    def read(self, n):
+        self.n, self.reads = self.n + n, self.reads + 1
+        return self.f.read(n)
+
+    def seek(self, at):
+        self.f.seek(at)
+
+
+@pytest.mark.parametrize("n", [1, 100, 20_000])
+def test_a_lookup_costs_the_same_in_any_shard(tmp_path, n):
+    keys, counts = [str(i) for i in range(n)], np.arange(n, dtype=np.uint64) % np.uint64(7) + np.uint64(1)
+    starts = np.cumsum(counts) - counts
+    (tmp_path / "s.idx").write_bytes(ts._index(keys, starts, counts, 2))
+    (tmp_path / "s.ids").write_bytes(b"")
+    opened = []
+
+    class Files:
+        def open_input_file(self, path):
+            opened.append(Counting(open(path, "rb")))
+            return opened[-1]
+
+    shard = ts.Shard(Files(), f"{tmp_path}/s")
+    assert opened[0].n < 400
+    asked = range(0, n, max(1, n // 500))
+    before = opened[0].n, opened[0].reads
+    assert [shard.find(keys[i]) for i in asked] == [(int(starts[i]), int(counts[i])) for i in asked]
+    assert (opened[0].n - before[0]) / len(asked) < 250 and (opened[0].reads - before[1]) / len(asked) < 4
+
+
+def test_unknown_schemes_are_named():
+    with pytest.raises(ValueError, match="nowhere"):
+        ts.file_system("nowhere://a/b")
+
+
+def test_a_hot_key_is_cut(spark, docs, plain):
+    """Rows of one key, even equal ones, go to several shards."""
+    rows = [(None, f"null {i % 3}") for i in range(300)] + [(7, "same text")] * 300 + [(8, "last")]
+    folder, manifest = ts.write_tokens(docs(*rows).repartition(4), PATH, shards=8)
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert sum(sizes) == 601 and max(sizes) < 200
+    found = ts.read_tokens(spark, folder, manifest).orderBy("start").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert [r["doc_key"] for r in found] == [None if i is None else str(i) for i, _ in want]
+    assert [r["start"] for r in found] == np.cumsum([0, *[r["n_tokens"] for r in found]])[:-1].tolist()
+
+
+def test_very_long_text(docs, plain):
+    text = "some words, again and again. " * 200_000
+    row = ts.tokenize(docs((1, text)), PATH).first()
+    ids = np.array([*plain(text), 2], "<u4")
+    assert (row["n_tokens"], row["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
 def test_repeated_null_and_empty(docs):
