@@ -5,6 +5,8 @@ rows of a hash partition packed into arrays, which takes a tenth of the shuffled
 unigram table is partitioned by word; bigrams meet, are counted and joined in the partition of
 their first word (of both words where the first is frequent); those too rare go on to the
 partition of their last word and join the unigram table there; documents sum what comes back.
+Counts of frequent words and bigrams are broadcast, and their occurrences are scored where they
+stand, so no partition holds a hot one.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from keystrata.llm.decontaminate import let
 from keystrata.llm.shared import ascii_lower, written
 from keystrata.llm.words import mix, word_hashes
 
-#: Documents of a batch, and bytes of text for each partition of the tables.
-BATCH, SHARE = 1 << 13, 12 << 20
+#: Documents and bytes of text of a batch, and bytes of text for each partition of the tables.
+BATCH, BATCH_BYTES, SHARE = 1 << 13, 24 << 20, 12 << 20
+#: Most words, and most bigrams, whose counts are broadcast.
+MOST_FREQUENT = 1 << 18
 #: Words are 48 bits of their hash; these two stand for the end of a text and for its start.
 WORD, END, START = np.uint64((1 << 48) - 1), np.uint64(0), np.uint64(1)
 #: Kinds of packed rows.
@@ -130,12 +134,25 @@ def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
 
 
+def _cuts(texts: pd.Series) -> Iterator[tuple[int, int]]:
+    """Runs of at most BATCH texts that have at most BATCH_BYTES together, or of one longer text."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        size = len(text.encode("utf-8", "surrogatepass")) if text else 0
+        if i > start and (i - start >= BATCH or held + size > BATCH_BYTES):
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _batches(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray, np.ndarray]]:
     """A number for each batch, its rows, the words of all its texts, and how many each text has."""
     n = 0
     for frame in rows:
-        for at in range(0, len(frame), BATCH):
-            part = frame.iloc[at : at + BATCH]
+        for at, end in _cuts(frame["text"]):
+            part = frame.iloc[at:end]
             words = [w & WORD for w in word_hashes(part["text"])]
             sizes, flat = np.array([len(w) for w in words], np.int64), np.concatenate(words)
             del words
@@ -159,6 +176,26 @@ class Frequent:
         return self.logs[np.searchsorted(self.words, words)]
 
 
+def _both(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(3) + second)
+
+
+class HotPairs:
+    """Logarithms of the counts of bigrams that would fill a partition by themselves."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, counts: np.ndarray):
+        keys = _both(first, second)
+        order = np.argsort(keys)
+        self.keys, self.first, self.second, self.logs = keys[order], first[order], second[order], np.log(counts[order])
+
+    def places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The place of each bigram here, -1 for the others."""
+        if not len(self.keys):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.keys, _both(first, second)), len(self.keys) - 1)
+        return np.where((self.first[at] == first) & (self.second[at] == second), at, -1)
+
+
 def _count_words(rows: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
     for _, _, flat, _ in _batches(rows):
         words, counts = np.unique(flat, return_counts=True)
@@ -183,22 +220,63 @@ def _frequent(rows: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame
         yield pd.DataFrame({"word": words[counts >= least].view(np.int64), "n": counts[counts >= least].astype(np.int64)})
 
 
-def _pairs(rows: Iterator[pd.DataFrame], parts: int, frequent: Frequent) -> Iterator[pd.DataFrame]:
-    """The bigrams of each batch by partition; each text's last word with END, its first with START."""
+def _followed(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The word after each word, END after a text's last."""
+    second = np.append(flat[1:], END)
+    second[np.cumsum(n)[n > 0] - 1] = END
+    return second
+
+
+def _count_pairs(rows: Iterator[pd.DataFrame], frequent: Frequent) -> Iterator[pd.DataFrame]:
+    """Bigrams of two frequent words; no other bigram can be as frequent as they are."""
+    for _, _, flat, n in _batches(rows):
+        if len(flat):
+            second = _followed(flat, n)
+            both = frequent.holds(flat)
+            both[both] = frequent.holds(second[both])
+            first, second = flat[both], second[both]
+            order = np.lexsort((second, first))
+            first, second = first[order], second[order]
+            at = _runs(first, second)
+            yield pd.DataFrame({"first": first[at].view(np.int64), "second": second[at].view(np.int64), "n": _lengths(at, len(first))})
+
+
+def _pairs(rows: Iterator[pd.DataFrame], parts: int, frequent: Frequent, hot: HotPairs) -> Iterator[pd.DataFrame]:
+    """The bigrams of each batch by partition; each text's last word with END, its first with START.
+
+    What is known of frequent words is summed here: their START, and hot bigrams. Their END only
+    serves to count them, which is done.
+    """
+    kind = "<u2" if parts <= 1 << 16 else "<u4"
     for batch, part, flat, n in _batches(rows):
         yield _rows([(DOCS, batch % parts, batch, json.dumps(part["doc_key"].where(part["doc_key"].notna(), None).tolist()).encode(), n.astype("<u4"))])
         if not len(flat):
             continue
         ends = np.cumsum(n)[n > 0]
-        second = np.append(flat[1:], END)
-        second[ends - 1] = END
+        second = _followed(flat, n)
         owner = np.arange(len(n))[n > 0]
         docs = np.concatenate([np.repeat(np.arange(len(n), dtype="<u2"), n), owner.astype("<u2")])
         first = np.concatenate([flat, flat[ends - n[n > 0]]])
         del flat
         second = np.concatenate([second, np.full(len(owner), START)])
-        to, often = (first & np.uint64(parts - 1)).astype("<u2"), frequent.holds(first)
-        to[often] = (mix(first[often] * np.uint64(3) + second[often]) & np.uint64(parts - 1)).astype("<u2")
+        often = frequent.holds(first)
+        if often.any():
+            f, s, d = first[often], second[often], docs[often]
+            place, start = hot.places(f, s), s == START
+            value = np.where(start, frequent.log(f), 0.0)
+            known = place >= 0
+            value[known] = hot.logs[place[known]] - frequent.log(f[known])
+            here = start | known
+            if here.any():
+                slots, value, uses = _sums(d[here].astype(np.int64), value[here], start[here].astype(np.int64))
+                yield _rows([(SUMS, batch % parts, 0, np.array([batch], "<i8"), np.array([len(slots)], "<u4"), slots.astype("<u2"), value, uses.astype("<u4"))])
+            rest = ~often
+            rest[often] = ~here & (s != END)
+            first, second, docs, often = first[rest], second[rest], docs[rest], often[rest]
+        if not len(first):
+            continue
+        to = (first & np.uint64(parts - 1)).astype(kind)
+        to[often] = (_both(first[often], second[often]) & np.uint64(parts - 1)).astype(kind)
         order = np.lexsort((second, first, to))
         first, second, docs, to = first[order], second[order], docs[order], to[order]
         pair = _runs(to, first, second)
@@ -226,6 +304,7 @@ def _sums(slot: np.ndarray, value: np.ndarray, uses: np.ndarray) -> tuple[np.nda
 def _score_pairs(frame: pd.DataFrame, parts: int, least: int, alpha: float, frequent: Frequent) -> pd.DataFrame:
     held = frame[frame["kind"] == PAIRS]
     out = [(DOCS, int(x.to), int(x.batch), x.a, x.b) for x in frame[frame["kind"] == DOCS].itertuples()]
+    out += [(SUMS, int(x.to), 0, x.a, x.b, x.c, x.d, x.e) for x in frame[frame["kind"] == SUMS].itertuples()]
     if not len(held):
         return _rows(out)
     batches = held["batch"].to_numpy(np.int64)
@@ -307,24 +386,36 @@ def _documents(frame: pd.DataFrame) -> pd.DataFrame:
 def score_bigrams(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 0.4, least: int = 2, share: int = SHARE) -> DataFrame:
     """score() with order 2, for every row; share: bytes of text for each partition of the tables.
 
-    Words with a quarter of a partition's share of all words are counted as frequent: their
-    bigrams are spread by both words, and their counts, at most four for each partition, are
-    broadcast. No partition grows with the input. Null, empty and blank texts have no words,
-    log_score 0 and a null mean; rows that repeat a key and rows with a null key are documents
-    of their own; an empty table gives no rows; further columns are ignored.
+    Words with a quarter of a partition's share of all words are frequent, and bigrams of two
+    such words as many are hot (at most MOST_FREQUENT of each, by a higher bound if need be).
+    Their counts are broadcast: hot bigrams are scored where they stand, other bigrams of
+    frequent words are spread by both words. So a partition holds about `share` bytes of text,
+    whatever the input, until the bound rises above a quarter of a share (0.8 TB at the default
+    share). Batches have at most BATCH_BYTES of text, or one text that is longer.
+
+    Null, empty and blank texts have no words, log_score 0 and a null mean; rows that repeat a
+    key and rows with a null key are documents of their own; an empty table gives no rows;
+    further columns are ignored.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(key).cast("string").alias("doc_key"), F.col(text).alias("text"))
     held = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    parts = 1 << min(16, max(2, (held // share).bit_length()))
+    parts = 1 << min(31, max(2, (held // share).bit_length()))
     table = written(
         source.select("text").mapInPandas(lambda x: _count_words(x, parts), PACKED).groupBy("to").applyInPandas(_word_table, PACKED), "lm-words"
     )
     total = table.agg(F.sum("batch")).first()[0] or 0  # a partition's words
-    most = max(1, total // (4 * parts))
-    hot = table.mapInPandas(lambda x: _frequent(x, most), "word long, n long").toPandas()
-    frequent = spark.sparkContext.broadcast(Frequent(hot["word"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)))
-    pairs = source.mapInPandas(lambda x: _pairs(x, parts, frequent.value), PACKED)
+    most = max(least, total // min(4 * parts, MOST_FREQUENT))
+    often = table.mapInPandas(lambda x: _frequent(x, most), "word long, n long").toPandas()
+    frequent = spark.sparkContext.broadcast(Frequent(often["word"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
+    none = np.zeros(0, np.int64)
+    first, second, n = none, none, none
+    if len(often):
+        counted = source.select("text").mapInPandas(lambda x: _count_pairs(x, frequent.value), "first long, second long, n long")
+        found = counted.groupBy("first", "second").agg(F.sum("n").alias("n")).filter(F.col("n") >= most).toPandas()
+        first, second, n = (found[c].to_numpy(np.int64) for c in ("first", "second", "n"))
+    hot = spark.sparkContext.broadcast(HotPairs(first.view(np.uint64), second.view(np.uint64), n))
+    pairs = source.mapInPandas(lambda x: _pairs(x, parts, frequent.value, hot.value), PACKED)
     first = pairs.groupBy("to").applyInPandas(lambda x: _score_pairs(x, parts, least, alpha, frequent.value), PACKED)
     second = first.unionByName(table).groupBy("to").applyInPandas(_score_words, PACKED)
     found = second.groupBy("to").applyInPandas(_documents, "doc_key string, n_words long, total double, uses long")

@@ -3,10 +3,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import backoff_lm
 from keystrata.llm.backoff_lm import score, score_bigrams
+from keystrata.llm.words import word_hashes
 
 
 def brute(docs, order, alpha=0.4, least=2):
@@ -46,3 +50,36 @@ def test_repeats_null_keys_and_empty(docs):
     assert rows == {1: 4, None: 1} and score(docs()).collect() == []
     rows = sorted((r["doc_id"] or 0, r["n_words"]) for r in score_bigrams(docs((1, "a b"), (1, "a b"), (None, "a"), (4, None))).collect())
     assert rows == [(0, 1), (1, 2), (1, 2), (4, 0)] and score_bigrams(docs()).collect() == []
+
+
+def test_one_bigram_as_half_of_all(docs, spark):
+    """Its occurrences are scored where they stand: no partition holds them."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("of the" if rng.random() < 0.6 else rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(60))) for i in range(60)] + [(70, "the"), (71, "of"), (72, "of the")]
+    got = {r["doc_id"]: r for r in score_bigrams(docs(*rows), share=2000).collect()}
+    for i, (n, s) in brute(rows, 2).items():
+        assert got[i]["n_words"] == n and got[i]["log_score"] == pytest.approx(s, abs=1e-9)
+    words = [w for _, t in rows for w in t.split()]
+    hashed = {w: (next(word_hashes([w])) & backoff_lm.WORD) for w in ("of", "the")}
+    frequent = backoff_lm.Frequent(np.concatenate(list(hashed.values())), np.array([words.count("of"), words.count("the")]))
+    hot = backoff_lm.HotPairs(*(np.concatenate([hashed[a], hashed[b]]) for a, b in (("of", "the"), ("the", "of"))), np.array([words.count("of"), 1300]))
+    frame = docs(*rows).select(F.col("doc_id").cast("string").alias("doc_key"), "text").coalesce(1)
+    made = frame.mapInPandas(lambda x: backoff_lm._pairs(x, 64, frequent, hot), backoff_lm.PACKED).filter(F.col("kind") == backoff_lm.PAIRS)
+    sizes = [len(r["f"]) // 2 for r in made.collect()]
+    assert sum(sizes) < 0.5 * len(words) and max(sizes) < 200
+
+
+def test_very_long_text(docs, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "BATCH_BYTES", 1 << 20)
+    text = " ".join(f"w{i % 5003} v{i % 4999}" for i in range(1_500_000))
+    rows = [(1, text), (2, "w1 v1 w2"), (3, "x y"), (None, "w1 v1")]
+    got = {r["doc_id"]: r for r in score_bigrams(docs(*rows)).collect()}
+    for i, (n, s) in brute(rows, 2).items():
+        assert got[i]["n_words"] == n and got[i]["log_score"] == pytest.approx(s, rel=1e-9)
+
+
+def test_batches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(backoff_lm, "BATCH_BYTES", 10)
+    monkeypatch.setattr(backoff_lm, "BATCH", 3)
+    texts = pd.Series(["abcd", "efgh", "ijkl", None, "", "x", "y" * 30, "z", "z"])
+    assert list(backoff_lm._cuts(texts)) == [(0, 2), (2, 5), (5, 6), (6, 7), (7, 9)] and list(backoff_lm._cuts(texts[:0])) == []
