@@ -1,9 +1,11 @@
+import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
-from keystrata.llm.decontaminate import benchmark_hits
+from keystrata.llm.decontaminate import ORACLE, benchmark_hits
 
 
 def words(text):
@@ -65,3 +67,24 @@ def test_repeats_null_keys_and_empty(spark, docs):
     assert benchmark_hits(docs(), items).collect() == []
     row = benchmark_hits(docs(items_tail()), frame(spark, [])).first()
     assert (row["n_words"], row["n_hit"], row["items"], row["full_items"]) == (10, 0, [], [])
+
+
+def test_very_long_text(spark, docs):
+    item = " ".join(f"q{i}" for i in range(12))
+    filler = " ".join(f"w{i}" for i in range(150_000))
+    rows = benchmark_hits(docs((1, f"{filler} {item} {filler}"), (2, "y" * 2_000_000), (3, filler)), frame(spark, [(1, item)])).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in rows} == {1: (300_012, 12), 2: (1, 0), 3: (150_000, 0)}
+
+
+def test_sql_agrees(spark, docs, tmp_path):
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(9)]
+    items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for i in range(8)] + [(50, None), (51, "...")]
+    rows = [(i, " ".join(rng.choice(pool).upper() for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(90, None), (91, "")]
+    docs(*rows).write.parquet(str(tmp_path / "d"))
+    frame(spark, items).write.parquet(str(tmp_path / "b"))
+    c = duckdb.connect()
+    for name, folder in (("documents", "d"), ("benchmark", "b")):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{folder}/*.parquet'")
+    got = {(r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), len(r["items"]) >= 2) for r in benchmark_hits(docs(*rows), frame(spark, items)).collect()}
+    assert got == set(c.execute(ORACLE).fetchall())

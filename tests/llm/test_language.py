@@ -1,6 +1,10 @@
+import math
+import os
+import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import language
 
@@ -60,3 +64,76 @@ def test_held_out(docs):
 def test_sample_is_bounded(docs):
     few = language.fit(docs(*corpus()), per_language=2, least=1)
     assert few.langs == ["de", "en", "fr"]
+
+
+def brute(labelled, texts, smoothing=0.5, least=2):
+    """Language and score of each text, counted and scored from the labelled texts in plain Python."""
+    words_of = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    grams = lambda w, n: list(w) if n == 1 else [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    count = {}
+    for text, lang in labelled:
+        for w in words_of(text):
+            for size, token in [(0, w)] + [(n, g) for n in range(1, 5) for g in grams(w, n)]:
+                count[size, token, lang] = count.get((size, token, lang), 0) + 1
+    count = {k: n for k, n in count.items() if n >= least}
+    langs = sorted({k[2] for k in count})
+    known = [{t for s, t, _ in count if s == size} for size in range(5)]
+    total = {(s, x): sum(n for (a, _, b), n in count.items() if (a, b) == (s, x)) for s in range(5) for x in langs}
+    log = lambda s, t, x: math.log(count.get((s, t, x), 0) + smoothing) - math.log(total[s, x] + smoothing * max(1, len(known[s])))
+
+    def word(w, x):
+        if w in known[0]:
+            return log(0, w, x)
+        for n in range(4, 0, -1):
+            seen = [g for g in grams(w, n) if g in known[n]]
+            if seen:
+                return sum(log(n, g, x) for g in seen) / len(seen)
+        return 0.0
+
+    out = []
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        sums = {x: sum(word(w, x) for w in words_of(text)) for x in langs}
+        best = max(langs, key=lambda x: (sums[x], -langs.index(x)))
+        out.append((best, 1 / sum(math.exp(v - sums[best]) for v in sums.values())))
+    return out
+
+
+def test_against_brute_force(docs, model):
+    texts = ["the people", "Der Berg lag da", "rivière", "wasserberg morgenleute under", "zzz qqq", "la the der", "12", None, "", "Été au bord de l'eau", EN, DE, FR]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs(*texts), model).collect()}
+    want = brute([(t, x) for _, t, x in corpus()], texts)
+    assert [got[i][0] for i in range(len(texts))] == [x for x, _ in want] and [got[i][1] for i in range(len(texts))] == pytest.approx([s for _, s in want], rel=1e-9)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no sample tables")
+def test_held_out_accuracy(spark):
+    """Documents that the model never saw get the language of their label."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(docs.filter(~language.held_out()))
+    seen = language.predict(docs.filter(language.held_out()), model).join(docs.select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL AND lang_pred <> 'und'")
+    right, n = seen.selectExpr("sum(int(lang = lang_pred))", "count(*)").first()
+    assert n > 150 and right / n > 0.97
+
+
+def test_one_key_on_many_texts_is_one_of_the_sample(docs):
+    """A key, or a text, that stands on a third of all rows brings one text to the sample."""
+    rows = [(7, f"{EN} copy{i}", "en") for i in range(60)] + [(100 + i, EN, "en") for i in range(60)] + [(300 + i, DE, "de") for i in range(60)]
+    few = language.fit(docs(*rows), per_language=40, least=1)
+    assert sum(w.startswith("copy") for w in few.known[0]) <= 1
+
+
+def test_sample_is_bounded_in_bytes(docs):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 1000, "en") for i in range(50)]
+    assert 1 <= len(language.fit(docs(*rows), language_bytes=30_000).known[0]) <= 5
+
+
+def test_very_long_text_and_the_column_form(spark, docs, model):
+    rows = docs((1, f"{DE} " * 100_000), (2, "the hill"), (3, None), (4, "7"))
+    want = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(rows, model).collect()}
+    assert want[1] == ("de", 1.0)
+    got = rows.withColumn("j", language.judgement(spark, model, F.col("text"))).select("doc_id", "j.*").collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == want
+    assert {r[0] for r in rows.filter(language.letters_in(F.col("text"))).collect()} == {1, 2}

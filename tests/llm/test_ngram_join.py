@@ -2,8 +2,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import ngram_join as nj
 from keystrata.llm.components import components
@@ -124,3 +127,48 @@ def test_components(spark, most_local):
     got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), most_local=most_local).collect()]
     assert Counter(n for n, _ in got).most_common(1)[0][1] == 1 and dict(got) == want
     assert components(spark.createDataFrame([], "a long, b long"), most_local=most_local).collect() == []
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_components_without_a_broadcast(docs, most):
+    """With a bound below the number of classes, those with many copies are looked up apart."""
+    rows = corpus(5) + [(2000 + i, "the hot copy of all the others here") for i in range(60)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.near_classes(docs(*rows), k=4, percent=85, most_broadcast=most).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def test_many_buckets():
+    """Bucket numbers above 16 bits are kept whole."""
+    buckets = 1 << 20
+    texts = pd.DataFrame({"text": [" ".join(f"w{i + j}" for j in range(30)) for i in range(3)]})
+    lists = pd.concat(nj._inverted(iter([texts]), 4, buckets))
+    shared = pd.concat(nj._shared(frame, buckets) for _, frame in lists.groupby("bucket"))
+    first = pd.concat(nj._prefixes(frame, 85, buckets) for _, frame in shared.groupby("bucket"))
+    assert first["bucket"].max() > 1 << 16 and set(first["bucket"]) <= set(lists["bucket"])
+    met = pd.concat(nj._meet(frame) for _, frame in first.groupby("bucket"))
+    assert len(set(met["a"]) | set(met["b"])) == 3
+
+
+def test_which_copies_go(docs):
+    base = [f"word{i}" for i in range(40)]
+    one, near, other = " ".join(base), " ".join(["new", *base[1:]]), " ".join(base[::-1])
+    rows = docs((5, one), (5, one), (3, near), (3, other), (None, one), (9, " "), (9, " "), (8, " "), (None, None))
+    gone, twice = nj.copies(rows)
+    content = {t: r for r, t in rows.select(F.xxhash64("text"), "text").collect()}
+    assert {tuple(r) for r in gone.collect()} == {(5, content[one]), (None, content[one])} and {tuple(r) for r in twice.collect()} == {(9, content[" "])}
+    gone, twice = nj.copies(docs((5, one), (5, one), (6, near)))
+    assert {tuple(r) for r in gone.collect()} == {(6, content[near])} and {tuple(r) for r in twice.collect()} == {(5, content[one])}
+
+
+def test_very_long_text(docs):
+    text = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, text), (2, text + " tail"), (3, "short"), (4, "x" * 3_000_000)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.near_classes(docs(*rows)).collect()}
+    assert got == {1: (399_996, 1), 2: (399_997, 1), 3: (1, 3), 4: (1, 4)}
+
+
+def test_sql_agrees(docs, tmp_path):
+    docs(*corpus(4)).write.parquet(str(tmp_path / "d"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert {tuple(r) for r in nj.near_classes(docs(*corpus(4)), k=4, percent=85).collect()} == set(c.execute(nj.ORACLE).fetchall())

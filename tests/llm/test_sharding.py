@@ -1,7 +1,11 @@
+import hashlib
 import itertools
 import random
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from keystrata.llm.sharding import differencing, shard_documents
 
 
@@ -46,3 +50,49 @@ def test_repeated_rows_one_group_and_empty(docs):
     rows = shard_documents(docs((1, "a"), (1, "a"), (None, "a"))).collect()
     assert len(rows) == 3 and len({r["shard"] for r in rows}) == 1 and sorted(r["slot"] for r in rows) == [0, 1, 2]
     assert shard_documents(docs()).collect() == []
+
+
+def brute(rows, shards, bundles, heavy_per_shard, bundle_of):
+    """Sizes and shards by the same rule in plain Python; bundle_of: Spark's bundle of a text's digest."""
+    size = lambda t: len((t or "").encode()) + 1
+    digest = lambda t: "null" if t is None else hashlib.sha256(t.encode()).hexdigest()
+    weight = {}
+    for _, t in rows:
+        weight[digest(t)] = weight.get(digest(t), 0) + size(t)
+    least = max(1, -(-sum(weight.values()) // (shards * heavy_per_shard)))
+    items = {}
+    for d, n in weight.items():
+        name = (d, 0) if n >= least else ("", bundle_of[d])
+        items[name] = items.get(name, 0) + n
+    order = sorted(items, key=lambda x: (-items[x], x))
+    # Differencing on lists of (bytes, names), the largest spread first.
+    parts = [(-items[x], i, [(0, [])] * (shards - 1) + [(items[x], [x])]) for i, x in enumerate(order)]
+    n = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[:2])
+        (_, _, a), (_, _, b), *rest = parts
+        both = sorted(((x + y, m + k) for (x, m), (y, k) in zip(a, reversed(b))), key=lambda p: p[0])
+        parts, n = [*rest, (both[0][0] - both[-1][0], n, both)], n + 1
+    sums = [x for x, _ in parts[0][2]]
+    return sums, {d: next(i for i, (_, names) in enumerate(parts[0][2]) if ((d, 0) if w >= least else ("", bundle_of[d])) in names) for d, w in weight.items()}, digest
+
+
+@pytest.mark.parametrize(("bundles", "heavy"), [(8192, 512), (16, 4)])
+def test_against_brute_force(spark, docs, bundles, heavy):
+    rng = random.Random(9)
+    rows = [(i, rng.choice("abcé") * rng.randint(0, 300) + str(i % 170)) for i in range(250)] + [(i, "hot copy " * 20) for i in range(300, 400)] + [(500, None), (501, ""), (None, "x"), (3, "x")]
+    digests = {"null" if t is None else hashlib.sha256(t.encode()).hexdigest() for _, t in rows}
+    bundle_of = {r["d"]: r["b"] for r in spark.createDataFrame([(d,) for d in digests], "d string").select("d", F.pmod(F.xxhash64("d"), F.lit(bundles)).cast("int").alias("b")).collect()}
+    got = shard_documents(docs(*rows), 4, bundles=bundles, heavy_per_shard=heavy).collect()
+    sums, shard, digest = brute(rows, 4, bundles, heavy, bundle_of)
+    assert [sum(r["size"] for r in got if r["shard"] == i) for i in range(4)] == sums
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    want = sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), shard[digest(t)]) for i, t in rows), key=key)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in got), key=key) == want
+    for s in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_very_long_text_and_null_keys(docs):
+    rows = shard_documents(docs((1, "é" * 10_000_000), (None, "a"), (None, None), (2, "b" * 100))).collect()
+    assert sorted((r["size"], r["doc_id"] or 0) for r in rows) == [(1, 0), (2, 0), (101, 2), (20_000_001, 1)] and len({r["shard"] for r in rows}) == 4
