@@ -63,8 +63,8 @@ def merge_runs(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.
 
 #: What buckets of the index hold: shingle (with its bucket), class, and a range of size codes.
 POSTING = np.dtype([("key", "<u4"), ("name", "<i8"), ("low", "u1"), ("high", "u1")])
-#: Documents of a bucket.
-BUCKET_DOCS = 4096
+#: Documents of a bucket, and classes that are dealt out to buckets at once.
+BUCKET_DOCS, BATCH = 4096, 2048
 
 
 def held_type(buckets: int) -> np.dtype:
@@ -107,17 +107,19 @@ def _classes(rows: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
 def _inverted(rows: Iterator[pd.DataFrame], k: int, buckets: int) -> Iterator[pd.DataFrame]:
     """All shingles of the classes of a batch, by bucket: names and sizes, and each key's place among them."""
     for frame in rows:
-        for start in range(0, len(frame), 1 << 12):
-            sets = dict(_sets(frame.iloc[start : start + (1 << 12)], k))
+        for start in range(0, len(frame), BATCH):
+            sets = dict(_sets(frame.iloc[start : start + BATCH], k))
             sets.pop(0, None)
             if not sets:
                 continue
             sizes = np.array([len(x) for x in sets.values()], np.uint32)
             names = np.array(list(sets), np.int64)
             bucket, key = placed(np.concatenate(list(sets.values())), buckets)
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+            del sets
             made = [
                 (b, names[used].tobytes(), sizes[used].tobytes(), keys.tobytes(), place.astype(np.uint16).tobytes())
-                for b, (keys, owner) in _by_bucket(bucket, key, np.repeat(np.arange(len(sets)), sizes))
+                for b, (keys, owner) in _by_bucket(bucket, key, owner)
                 for used, place in [np.unique(owner, return_inverse=True)]
             ]
             yield pd.DataFrame(made, columns=["bucket", "names", "sizes", "keys", "places"])
