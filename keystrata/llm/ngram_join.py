@@ -26,6 +26,8 @@ from keystrata.llm.words import mix, shingles, word_hashes
 FINE = 3
 #: Most classes in units for which they are broadcast; with more, texts and sets are shuffled to them.
 MOST_BROADCAST = 1 << 20
+#: A block of a large unit is an eighth of a core's part of all shingles, within these bounds.
+LEAST_UNIT, MOST_UNIT = 1 << 17, 1 << 21
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -270,7 +272,7 @@ def _marks(rows: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int, unit_shingles: int, bucket_docs: int, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
+def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int, unit_shingles: int | None, bucket_docs: int, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
     """All rows as doc_key, content, n_shingles and class; and the classes with several rows or a link.
 
     Those have their number of rows as copies, the least class they are connected with as root,
@@ -297,9 +299,10 @@ def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int, unit_shi
         "ngram-sets",
     )
     weight = members.groupBy("unit").agg(F.sum("n").alias("weight"), F.min("class").alias("hub"))
+    total, lanes = members.agg(F.sum("n")).first()[0] or 0, spark.sparkContext.defaultParallelism
+    unit_shingles = unit_shingles or min(MOST_UNIT, max(LEAST_UNIT, total // (8 * lanes)))
     blocks = F.ceil(F.col("weight") / unit_shingles).cast("int")
-    total = members.agg(F.sum("n")).first()[0] or 0
-    bins = max(1, spark.sparkContext.defaultParallelism, -(-total // unit_shingles) * 8)
+    bins = max(1, lanes, -(-total // unit_shingles) * 8)
     weighed = sets.join(small(weight.withColumn("blocks", blocks)), "unit")
     own = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("unit"), F.lit(bins))).otherwise(F.xxhash64("unit", F.pmod(F.xxhash64("class"), F.col("blocks"))))
     whole = weighed.select("unit", "class", "marks", own.alias("task"))
@@ -316,7 +319,7 @@ def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int, unit_shi
     return rows, written(joined.select("class", "copies", F.coalesce("root", "class").alias("root"), "least"), "ngram-joined")
 
 
-def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, unit_shingles: int = 1 << 21, bucket_docs: int = BUCKET_DOCS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, unit_shingles: int | None = None, bucket_docs: int = BUCKET_DOCS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) of every document.
 
     Two documents link when their sets of k-word shingles have a Jaccard similarity of at least
@@ -326,8 +329,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     with a null key are searched like all others; a component of such rows alone has a null id.
     Texts may be of any length: hashing goes by pieces, and Arrow batches hold few long texts.
 
-    A unit of more than unit_shingles is searched in blocks, each with the unit's
-    smallest class; classes left outside the largest component are then searched against
+    A unit of more than unit_shingles (by default an eighth of a core's part, between 2^17 and
+    2^21) is searched in blocks, each with the unit's smallest class; classes left outside the largest component are then searched against
     every block, so no link is lost and no task holds more than its share.
     """
     rows, joined = _joined(docs, key, text, k, percent, unit_shingles, bucket_docs, most_broadcast)
@@ -337,7 +340,7 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     return found.select(F.col("doc_key").alias(key), "n_shingles", F.coalesce("component_id", "doc_key").alias("component_id"))
 
 
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, unit_shingles: int = 1 << 21, bucket_docs: int = BUCKET_DOCS, most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, unit_shingles: int | None = None, bucket_docs: int = BUCKET_DOCS, most_broadcast: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
     """Which rows go so that one of each component stays: two tables of doc_key and content.
 
     content is xxhash64 of the text. The first table has the rows to drop. The row that stays
