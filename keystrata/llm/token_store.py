@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from keystrata.llm.shared import new_path, written
 from keystrata.llm.words import mix
 
-#: Pieces that a worker keeps ready, in each of two halves.
-READY = 700_000
+#: Pieces that a worker keeps ready, in each of two halves, and bits that tell which came before.
+READY, SEEN_BITS = 400_000, 25
 #: The letters of ASCII and Latin-1, and words of them with marks behind: no letter composes with another or changes its number of letters in lower case.
 LETTER = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xb5\xba")
 WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\\[-`{-~]+)?").fullmatch
@@ -52,13 +52,18 @@ SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 class _Ready(dict):
-    """Ids by piece; pieces asked for in vain are noted, and None is given."""
+    """Ids by piece; pieces asked for in vain are noted, and None is given.
+
+    A piece is kept from its second time on, as most pieces come only once. Whether it came
+    before is one bit by its hash; a bit set by another piece only keeps one piece more.
+    """
 
     def __init__(self, most: int) -> None:
         super().__init__()
         self.most = most
         self.older: dict[str, bytes] = {}
         self.new: set[str] = set()
+        self.seen = bytearray(1 << SEEN_BITS >> 3)
 
     def __missing__(self, piece: str) -> bytes | None:
         ids = self.older.get(piece)
@@ -68,11 +73,22 @@ class _Ready(dict):
             self[piece] = ids
         return ids
 
+    def keep(self, made: dict[str, bytes]) -> None:
+        seen, mask = self.seen, (1 << SEEN_BITS) - 1
+        for piece, ids in made.items():
+            at = hash(piece) & mask
+            bit = 1 << (at & 7)
+            if seen[at >> 3] & bit:
+                self[piece] = ids
+            else:
+                seen[at >> 3] |= bit
+
     def turn(self) -> None:
         """When full, what is here becomes the older half, and the half before it goes."""
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
+            self.seen = bytearray(len(self.seen))
 
 
 class Encoder:
@@ -105,44 +121,47 @@ class Encoder:
             out.byteswap()
         return out.tobytes()
 
-    def _learn(self) -> None:
+    def _learn(self) -> dict[str, bytes]:
+        """The ids of all pieces that were asked for in vain."""
         ready, marks, model = self.ready, self.marks, self.tokenizer.model
         pieces, ready.new = ready.new, set()
-        formed, others = [], set()
+        made: dict[str, bytes] = {}
+        stems: dict[str, bytes] = {}
+        others = []
         for piece in pieces:
             cut = WORD(piece)
             if cut is None:
-                others.add(piece)
+                others.append(piece)
                 continue
             stem, mark = cut.groups()
             stem = stem.lower()
-            ids = ready[stem]
+            ids = stems.get(stem)
             if ids is None:
-                ids = ready[stem] = self._packed([t.id for t in model.tokenize(stem if stem.isascii() else stem.translate(self.letters))])
+                ids = ready[stem] or self._packed([t.id for t in model.tokenize(stem if stem.isascii() else stem.translate(self.letters))])
+                stems[stem] = ids
             if mark:
                 if mark not in marks:
                     marks[mark] = self._plain(mark)
                 ids += marks[mark]
-            formed.append((piece, ids))
+            made[piece] = ids
         if others:
-            stems = list(others)
-            done = self.tokenizer.encode(stems, is_pretokenized=True, add_special_tokens=False)
+            done = self.tokenizer.encode(others, is_pretokenized=True, add_special_tokens=False)
             ids = self._packed(done.ids)
             owner = np.array(done.word_ids, np.int64)
-            cuts = (np.searchsorted(owner, np.arange(len(stems) + 1)) * self.dtype.itemsize).tolist()
-            ready.update((stem, ids[a:b]) for stem, a, b in zip(stems, cuts, cuts[1:]))
-        ready.update(formed)
+            cuts = (np.searchsorted(owner, np.arange(len(others) + 1)) * self.dtype.itemsize).tolist()
+            made.update((piece, ids[a:b]) for piece, a, b in zip(others, cuts, cuts[1:]))
         ready.new = set()
+        ready.keep({**stems, **made})
+        return made
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
         self.ready.turn()
         get = self.ready.__getitem__
         split = [text.replace("\n", " ").split(" ") for text in texts]
         found = [list(map(get, pieces)) for pieces in split]
-        if self.ready.new:
-            self._learn()
+        made = self._learn() if self.ready.new else {}
         for pieces, have in zip(split, found):
-            yield b"".join([get(p) if x is None else x for p, x in zip(pieces, have)])
+            yield b"".join([made[p] if x is None else x for p, x in zip(pieces, have)])
 
 
 @cache
