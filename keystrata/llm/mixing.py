@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,77 +17,155 @@ MARGINS = ("source", "lang", "topic")
 MOST_CELLS = 1 << 18
 #: Topic of texts without words.
 WORDLESS = "none"
+#: Texts whose words are counted and placed at once.
+TOGETHER = 256
 
 
 class Topics:
-    """Clusters of texts by their words: hashed, damped and weighted counts nearest to a centre."""
+    """Clusters of texts by their words: hashed, damped and weighted counts nearest to a centre.
+
+    Texts and centres are vectors of length 1 in whole parts of 2^26, so sums and products are
+    exact in 64 bits and the model is the same however the rows are dealt out.
+    """
+
+    PARTS = float(1 << 26)
 
     def __init__(self, weights: np.ndarray, centres: np.ndarray):
         self.weights, self.centres = weights, centres
 
     @staticmethod
-    def counts(texts: Sequence[str | None], dims: int) -> np.ndarray:
-        """How often words of each hashed kind occur in each text."""
+    def counts(texts: Sequence[str | None], dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many hashed kinds of words each text has; the kinds, text by text; and how often each occurs."""
         words = list(word_hashes(texts))
         owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
         place = owner * dims + (np.concatenate(words) % np.uint64(dims)).astype(np.int64) if words else owner
-        return np.bincount(place, minlength=len(words) * dims).reshape(len(words), dims).astype(np.float32)
-
-    def _placed(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.weights
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-    @classmethod
-    def fit(cls, counts: np.ndarray, number: int, rounds: int = 12) -> Topics:
-        """Spherical k-means from centres far apart; topics are numbered from the largest."""
-        counts = counts[counts.sum(axis=1) > 0]
-        weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-        model = cls(weights.astype(np.float32), np.zeros((0, counts.shape[1]), np.float32))
-        if not len(counts):
-            return model
-        x = model._placed(counts)
-        chosen, nearest = [0], x @ x[0]
-        while len(chosen) < number and nearest.min() < 1 - 1e-6:
-            chosen.append(int(nearest.argmin()))
-            nearest = np.maximum(nearest, x @ x[chosen[-1]])
-        model.centres = x[chosen]
-        for _ in range(rounds):
-            topic = (x @ model.centres.T).argmax(axis=1)
-            sums = np.stack([x[topic == i].sum(axis=0) if (topic == i).any() else model.centres[i] for i in range(len(model.centres))])
-            model.centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        size = np.bincount((x @ model.centres.T).argmax(axis=1), minlength=len(model.centres))
-        model.centres = model.centres[np.argsort(-size, kind="stable")]
-        return model
+        held = np.bincount(place, minlength=len(words) * dims)
+        place = np.flatnonzero(held)
+        return np.bincount(place // dims, minlength=len(words)), place % dims, held[place]
+
+    def placed(self, kinds: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The vector of each text; zeros where it has no words."""
+        owner = np.repeat(np.arange(len(kinds)), kinds)
+        x = np.log1p(count.astype(np.float64)) * self.weights[place]
+        length = np.sqrt(np.bincount(owner, x * x, len(kinds)))
+        out = np.zeros((len(kinds), len(self.weights)))
+        out[owner, place] = np.rint(x / length[owner] * self.PARTS)
+        return out
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The centre of each vector; ties go to the smaller number."""
+        return (x @ self.centres.T).argmax(axis=1)
 
     def of(self, texts: Sequence[str | None]) -> list[str]:
         """Topics t0, t1, ...; ties go to the smaller number."""
         out = []
-        for i in range(0, len(texts), 256):
-            counts = self.counts(texts[i : i + 256], len(self.weights))
-            some = counts.sum(axis=1) > 0
-            best = (self._placed(counts) @ self.centres.T).argmax(axis=1) if len(self.centres) else np.zeros(len(counts), int)
-            out += [f"t{b}" if s and len(self.centres) else WORDLESS for b, s in zip(best, some)]
+        for i in range(0, len(texts), TOGETHER):
+            kinds, place, count = self.counts(texts[i : i + TOGETHER], len(self.weights))
+            best = self.nearest(self.placed(kinds, place, count)) if len(self.centres) else kinds
+            out += [f"t{b}" if n and len(self.centres) else WORDLESS for b, n in zip(best, kinds)]
         return out
 
 
-def fit_topics(docs: DataFrame, text: str = "text", number: int = 8, sample: int = 4096, dims: int = 512) -> Topics:
-    """Topics of at most `sample` texts, chosen by hash; only their counted words come to the driver."""
-    rows = docs.select(F.col(text).alias("text")).filter("text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
-    n = rows.count()
-    share = F.pmod(F.col("mark"), F.lit(1 << 30)) <= F.lit(int(min(1.0, 2.0 * sample / max(n, 1) + 1e-4) * (1 << 30)))
-    # The bound holds for copies, too: of equal texts one counts.
-    drawn = rows.filter(share).select("mark").distinct().orderBy("mark").limit(sample)
-    drawn = rows.join(F.broadcast(drawn), "mark").groupBy("mark").agg(F.min("text").alias("text"))
+def _counted(frames: Iterator[pd.DataFrame], dims: int) -> Iterator[pd.DataFrame]:
+    """The counts of texts with words, TOGETHER texts a row."""
+    for frame in frames:
+        rows = []
+        for i in range(0, len(frame), TOGETHER):
+            part = frame.iloc[i : i + TOGETHER]
+            kinds, place, count = Topics.counts(part["text"].tolist(), dims)
+            some = kinds > 0
+            if some.any():
+                count = count.astype(np.min_scalar_type(count.max()))
+                rows.append((part["mark"].to_numpy(np.int64)[some].tobytes(), kinds[some].astype("<u4").tobytes(), place.astype("<u4" if dims > 1 << 16 else "<u2").tobytes(), count.tobytes()))
+        yield pd.DataFrame(rows, columns=["marks", "kinds", "places", "counts"])
+
+
+def _slices(frames: Iterator[pd.DataFrame], dims: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What _counted() packed: marks, and the three results of Topics.counts()."""
+    for frame in frames:
+        for marks, kinds, places, counts in frame.itertuples(index=False):
+            place = np.frombuffer(places, "<u4" if dims > 1 << 16 else "<u2").astype(np.int64)
+            yield np.frombuffer(marks, np.int64), np.frombuffer(kinds, "<u4").astype(np.int64), place, np.frombuffer(counts, f"u{len(counts) // len(place)}")
+
+
+def _summed(held: DataFrame, tally: Callable[[Iterator[pd.DataFrame]], np.ndarray], size: int) -> np.ndarray:
+    """The sum of each task's vector of whole numbers; one row a place comes to the driver."""
 
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), 256):
-                part = frame.iloc[i : i + 256]
-                yield pd.DataFrame({"mark": part["mark"], "counts": [c.tobytes() for c in Topics.counts(part["text"].tolist(), dims)]})
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = tally(frames).astype(np.int64)
+        place = np.flatnonzero(total)
+        yield pd.DataFrame({"place": place, "total": total[place]})
 
-    held = drawn.mapInPandas(counted, "mark long, counts binary").orderBy("mark").toPandas()
-    counts = np.stack([np.frombuffer(c, np.float32) for c in held["counts"]]) if len(held) else np.zeros((0, dims), np.float32)
-    return Topics.fit(counts, number)
+    out = np.zeros(size, np.int64)
+    found = held.mapInPandas(sums, "place long, total long").groupBy("place").agg(F.sum("total").alias("total")).toPandas()
+    out[found["place"].to_numpy(np.int64)] = found["total"].to_numpy(np.int64)
+    return out
+
+
+def _farthest(held: DataFrame, model: Topics) -> tuple[float, np.ndarray] | None:
+    """The text farthest from its nearest centre, and how near; of several the least by hash. Without centres the least of all."""
+    dims = len(model.weights)
+
+    def least(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for marks, *counts in _slices(frames, dims):
+            x = model.placed(*counts)
+            near = (x @ model.centres.T).max(axis=1, initial=0.0)
+            at = np.lexsort((marks, near))[0]
+            if best is None or (near[at], marks[at]) < best[:2]:
+                best = near[at], marks[at], x[at].tobytes()
+        yield pd.DataFrame([best] if best else [], columns=["near", "mark", "vector"])
+
+    found = held.mapInPandas(least, "near double, mark long, vector binary").agg(F.min(F.struct("near", "mark", "vector")).alias("x")).first()["x"]
+    return None if found is None else (found["near"] / Topics.PARTS**2, np.frombuffer(found["vector"]))
+
+
+def fit_topics(docs: DataFrame, text: str = "text", number: int = 8, sample: int | None = None, dims: int = 512, rounds: int = 12) -> Topics:
+    """Spherical k-means over all texts, from centres far apart; topics are numbered from the largest.
+
+    Words are counted once into a table; weights, first centres and each round are sums over
+    all of it, of which the driver gets a row for each kind of word and centre. Every row
+    counts, so copies count as often as they occur. Rounds end early when no centre moves.
+    sample: fit on at most so many distinct texts, chosen by hash, instead of all.
+    """
+    rows = docs.select(F.col(text).alias("text")).filter("text IS NOT NULL").withColumn("mark", F.xxhash64("text"))
+    if sample is not None:
+        n = rows.count()
+        share = F.pmod(F.col("mark"), F.lit(1 << 30)) <= F.lit(int(min(1.0, 2.0 * sample / max(n, 1) + 1e-4) * (1 << 30)))
+        drawn = rows.filter(share).select("mark").distinct().orderBy("mark").limit(sample)
+        rows = rows.join(F.broadcast(drawn), "mark").groupBy("mark").agg(F.min("text").alias("text"))
+    held = written(rows.select("mark", "text").mapInPandas(lambda x: _counted(x, dims), "marks binary, kinds binary, places binary, counts binary"), "mix-words")
+
+    def occurring(frames: Iterator[pd.DataFrame]) -> np.ndarray:
+        total = np.zeros(dims + 1, np.int64)
+        for marks, _, place, _ in _slices(frames, dims):
+            total += np.append(np.bincount(place, minlength=dims), len(marks))
+        return total
+
+    texts = _summed(held, occurring, dims + 1)
+    model = Topics(np.log((1 + texts[dims]) / (1 + texts[:dims])) + 1, np.zeros((0, dims)))
+    while len(model.centres) < number and (far := _farthest(held, model)) and (not len(model.centres) or far[0] < 1 - 1e-6):
+        model = Topics(model.weights, np.vstack([model.centres, far[1]]))
+
+    def moved(frames: Iterator[pd.DataFrame]) -> np.ndarray:
+        """The sum of the vectors of each topic, and behind them its number of texts."""
+        sums, size = np.zeros(model.centres.shape, np.int64), np.zeros(len(model.centres), np.int64)
+        for _, *counts in _slices(frames, dims):
+            x = model.placed(*counts)
+            topic = model.nearest(x)
+            sums += ((topic == np.arange(len(size))[:, None]).astype(np.float64) @ x).astype(np.int64)
+            size += np.bincount(topic, minlength=len(size))
+        return np.append(sums, size)
+
+    k = len(model.centres)
+    for i in range(rounds + 1 if k else 0):
+        total = _summed(held, moved, k * (dims + 1))
+        sums, size = total[: k * dims].reshape(k, dims).astype(np.float64), total[k * dims :]
+        centres = np.where(size[:, None] > 0, np.rint(sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1.0) * Topics.PARTS), model.centres)
+        if i == rounds or (centres == model.centres).all():
+            return Topics(model.weights, model.centres[np.argsort(-size, kind="stable")])
+        model = Topics(model.weights, centres)
+    return model
 
 
 def topic_of(spark: SparkSession, model: Topics, text: Column) -> Column:
@@ -193,7 +271,7 @@ def _drawn(rows: DataFrame, fitted: DataFrame, scale: float, seed: int) -> DataF
     return placed.withColumn("kept", draw < F.col("probability"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, power: float = 0.9, rounds: int = 200, tolerance: float = 1e-9, seed: int = 17, most_cells: int = MOST_CELLS, topics: int = 8, topic_sample: int = 4096, scale_share: float = 1e-3) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, targets: Mapping[str, Mapping[str, float]] | None = None, power: float = 0.9, rounds: int = 200, tolerance: float = 1e-9, seed: int = 17, most_cells: int = MOST_CELLS, topics: int = 8, topic_sample: int | None = None, scale_share: float = 1e-3) -> DataFrame:
     """The calibrated weight of every document and whether the sample takes it.
 
     Tokens, which are runs of non-white-space, are counted by source, language and topic over
@@ -203,8 +281,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     with at least scale_share of all tokens (of all cells where none has), and 1 at most, so
     that no cell of a few documents thins out all others; it is kept if a hash of its key and
     text lies below. Without a topic column, topics are `topics`
-    clusters of texts by their words, fitted on at most topic_sample texts; every text has the
-    nearest. Returns key, source, lang, topic, n_tokens, factor, probability and kept.
+    clusters of texts by their words, fitted on all texts (with topic_sample on at most so
+    many); every text has the nearest. Returns key, source, lang, topic, n_tokens, factor, probability and kept.
 
     Null categories are the category "unknown"; categories without a target get probability 0;
     null and wordless texts count one token and have the topic "none"; texts may be of any
@@ -217,10 +295,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return found.select(F.col("doc_key").alias(key), *MARGINS, "n_tokens", "factor", "probability", "kept")
 
 
-def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, power: float = 0.9, rounds: int = 200, tolerance: float = 1e-9, seed: int = 17, most_cells: int = MOST_CELLS, topics: int = 8, topic_sample: int = 4096, scale_share: float = 1e-3) -> DataFrame:
+def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", targets: Mapping[str, Mapping[str, float]] | None = None, power: float = 0.9, rounds: int = 200, tolerance: float = 1e-9, seed: int = 17, most_cells: int = MOST_CELLS, topics: int = 8, topic_sample: int | None = None, scale_share: float = 1e-3) -> DataFrame:
     """The rows of docs that mix() keeps, with all their columns.
 
-    Texts are read twice, once for the cells and once for the draw, and never shuffled while
+    Texts are read three times, for the topics, the cells and the draw, and never shuffled while
     the cells are few enough to be raked on the driver.
     """
     topic = topic_of(docs.sparkSession, fit_topics(docs, text, topics, topic_sample), F.col(text))

@@ -147,3 +147,41 @@ def test_rake_known():
 def test_tokens_are_runs_of_non_white_space(docs):
     found = mixing.mix(docs((1, "one\nword\na\nline"), (2, "two  blanks "), (3, "a\tb\r\nc"), (4, " \n "))).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in found} == {1: 4, 2: 2, 3: 3, 4: 1}
+
+
+def topics_of_all(texts, number=8, dims=512, rounds=12):
+    """Weights and centres of every text in memory, in floating point."""
+    held = np.array([np.bincount((w % np.uint64(dims)).astype(np.int64), minlength=dims) for w in mixing.word_hashes(texts)], float)
+    marks = np.array([spark_hash(t) for t in texts])[held.sum(axis=1) > 0]
+    held = held[held.sum(axis=1) > 0]
+    weights = np.log((1 + len(held)) / (1 + (held > 0).sum(axis=0))) + 1
+    x = np.log1p(held) * weights
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    chosen = [int(marks.argmin())]
+    while len(chosen) < number:
+        near = (x @ x[chosen].T).max(axis=1).round(9)
+        chosen.append(int(np.lexsort((marks, near))[0]))
+    centres = x[chosen]
+    for _ in range(rounds):
+        topic = (x @ centres.T).argmax(axis=1)
+        sums = np.stack([x[topic == i].sum(axis=0) for i in range(number)])
+        centres = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    size = np.bincount((x @ centres.T).argmax(axis=1), minlength=number)
+    return weights, centres[np.argsort(-size, kind="stable")]
+
+
+def many_texts(n=6000):
+    rng = random.Random(5)
+    kinds = [[f"{c}{i}" for i in range(30)] for c in ("sea", "law", "cook", "rail", "star")]
+    return [" ".join(rng.choices(kinds[i % 5], k=rng.randint(3, 12))) + f" n{i}" for i in range(n)] + ["", None]
+
+
+def test_topics_learn_from_every_text(docs):
+    """More texts than a sample of 4,096 would hold, however their rows are dealt out."""
+    texts = many_texts()
+    weights, centres = topics_of_all([t or "" for t in texts])
+    model = mixing.fit_topics(docs(*texts))
+    assert model.weights == pytest.approx(weights, rel=1e-6)
+    assert model.centres / np.linalg.norm(model.centres, axis=1, keepdims=True) == pytest.approx(centres, abs=1e-5)
+    other = mixing.fit_topics(docs(*texts).repartition(7))
+    assert (other.weights == model.weights).all() and (other.centres == model.centres).all()
