@@ -7,7 +7,7 @@ from keystrata.llm import language, mixing
 from pyspark.sql import functions as F
 
 from test_decontaminate import brute as brute_hits
-from test_mixing import brute as brute_mix
+from test_mixing import brute as brute_mix, many_texts, topics_of_all
 from test_ngram_join import brute as brute_near
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -121,3 +121,12 @@ def test_further_columns_and_long_texts(spark, folder, docs):
         out = stage(spark, extra, path)
         assert out.columns == extra.columns and sorted(r["doc_id"] for r in out.select("doc_id").collect()) == [1, 2]
     assert corpus_pipeline.mix_sources(spark, extra, path).columns == extra.columns
+
+
+def test_mixing_learns_from_every_text(spark, docs):
+    """The stage's topics are those of all its texts, more than a sample of 4,096 would hold."""
+    texts = many_texts(5000)
+    rows = [(i, t, "en" if i % 3 else "de", "a" if i % 4 else "b") for i, t in enumerate(texts)]
+    weights, centres = topics_of_all([t or "" for t in texts])
+    want = sorted(x[0] for x in brute_mix(rows, mixing.Topics(weights, (centres * mixing.Topics.PARTS).round())) if x[6])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs(*rows), "").collect()) == want
