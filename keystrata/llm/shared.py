@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system, for it lives on beside the workers of later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def giving_back(made: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A function of a group that gives back what it took."""
+
+    def of_group(frame: pd.DataFrame) -> pd.DataFrame:
+        out = made(frame)
+        give_back()
+        return out
+
+    return of_group
+
+
 def ascii_lower(column: Column | str) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(column, UPPER, LOWER)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
+import string
 import struct
 import sys
 import uuid
@@ -30,14 +30,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import new_path, written
+from keystrata.llm.shared import give_back, new_path, written
 from keystrata.llm.words import mix
 
 #: Pieces that a worker keeps ready, in each of two halves, and bits that tell which came before.
 READY, SEEN_BITS = 400_000, 25
-#: The letters of ASCII and Latin-1, and words of them with marks behind: no letter composes with another or changes its number of letters in lower case.
+#: The letters of ASCII and Latin-1, no one of which composes with another or changes its number of letters in lower case; and marks behind words of them.
 LETTER = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c not in "\xaa\xb5\xba")
-WORD = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\\[-`{-~]+)?").fullmatch
+MARKS = string.punctuation
+#: Texts that are encoded at once: their pieces stay in a core's cache.
+TEXTS = 64
 #: Ids that are read at once.
 TOGETHER = 1 << 20
 #: Bits of a level of the perfect hash for each key that reaches it, and bits of a block.
@@ -129,17 +131,18 @@ class Encoder:
         stems: dict[str, bytes] = {}
         others = []
         for piece in pieces:
-            cut = WORD(piece)
-            if cut is None:
+            word = piece.rstrip(MARKS)
+            plain = word.isascii()
+            if not (word.isalpha() if plain else LETTER.issuperset(word)):
                 others.append(piece)
                 continue
-            stem, mark = cut.groups()
-            stem = stem.lower()
+            stem = word.lower()
             ids = stems.get(stem)
             if ids is None:
-                ids = ready[stem] or self._packed([t.id for t in model.tokenize(stem if stem.isascii() else stem.translate(self.letters))])
+                ids = ready[stem] or self._packed([t.id for t in model.tokenize(stem if plain else stem.translate(self.letters))])
                 stems[stem] = ids
-            if mark:
+            if len(word) < len(piece):
+                mark = piece[len(word) :]
                 if mark not in marks:
                     marks[mark] = self._plain(mark)
                 ids += marks[mark]
@@ -151,7 +154,7 @@ class Encoder:
             cuts = (np.searchsorted(owner, np.arange(len(others) + 1)) * self.dtype.itemsize).tolist()
             made.update((piece, ids[a:b]) for piece, a, b in zip(others, cuts, cuts[1:]))
         ready.new = set()
-        ready.keep({**stems, **made})
+        ready.keep(stems | made)
         return made
 
     def encode(self, texts: Sequence[str]) -> Iterator[bytes]:
@@ -360,11 +363,13 @@ def _write_shard(rows: Iterator[pd.DataFrame], folder: str, tokenizer: str, end:
             out = fs.open_output_stream(f"{draft}.ids")
         # A few texts at a time, so that memory follows the longest text and not the batch.
         texts, doc_keys = frame["text"].tolist(), frame["doc_key"].tolist()
-        for i in range(0, len(texts), 256):
-            made = list(encoder.encode([t or "" for t in texts[i : i + 256]]))
+        for i in range(0, len(texts), TEXTS):
+            made = list(encoder.encode([t or "" for t in texts[i : i + TEXTS]]))
             out.write(last.join([*made, b""]))
-            keys += doc_keys[i : i + 256]
+            keys += doc_keys[i : i + TEXTS]
             counts += [len(ids) // width + 1 for ids in made]
+        # Before the next batch comes.
+        del frame, texts, doc_keys
     if out is None:
         return
     out.close()
@@ -378,9 +383,14 @@ def _write_shard(rows: Iterator[pd.DataFrame], folder: str, tokenizer: str, end:
     for part in ("ids", "keys", "idx"):
         fs.move(f"{draft}.{part}", f"{name}.{part}")
     yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "path": [name], "n_docs": [len(keys)], "n_ids": [int(n.sum())]})
+    del keys, counts, n
+    give_back()
 
 
 def _read_shards(rows: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
+    # All is written, so the pieces that a worker kept for it can go.
+    _encoder.cache_clear()
+    give_back()
     fs, _ = file_system(folder)
     for frame in rows:
         for path, before in zip(frame["path"], frame["before"]):

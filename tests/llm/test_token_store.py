@@ -134,3 +134,30 @@ def test_repeated_null_and_empty(docs):
     rows = ts.tokenize(docs((5, "b"), (5, "a"), (None, "c"), (1, None)), PATH).collect()
     assert sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in rows) == [(0, 2, None), (2, 1, 1), (3, 2, 5), (5, 2, 5)]
     assert ts.tokenize(docs(), PATH).collect() == []
+
+
+def test_workers_let_go_of_pieces_once_all_is_written(tmp_path):
+    """Workers live on, so what they keep from the texts of one run would stay beside the next."""
+    encoder = ts._encoder(PATH, "<u2", 1000)
+    list(encoder.encode(["some words, some words"] * 2))
+    assert ts._encoder.cache_info().currsize
+    list(ts._read_shards(iter([]), f"file://{tmp_path}"))
+    assert not ts._encoder.cache_info().currsize
+
+
+def test_words_with_marks_take_the_short_way(plain):
+    """Only what isn't a Latin-1 word with ASCII marks behind takes the tokenizer's whole way."""
+    encoder, long_way = ts.Encoder(PATH, "<u2"), []
+    whole = encoder.tokenizer
+
+    class Seen:
+        model = whole.model
+
+        def encode(self, pieces, **more):
+            long_way.extend(pieces if isinstance(pieces, list) else [])
+            return whole.encode(pieces, **more)
+
+    encoder.tokenizer = Seen()
+    text = "Word word. École, Stra\xdfe!? \xaa \xb5m 1st a1. x́ İ ,a a,b \xd7 ÿ}~"
+    assert np.frombuffer(next(encoder.encode([text])), "<u2").tolist() == plain(text)
+    assert sorted(long_way) == sorted(["\xaa", "\xb5m", "1st", "a1.", "x́", "İ", ",a", "a,b", "\xd7"])
