@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.components import components, local_roots
-from keystrata.llm.shared import LOWER, UPPER, written
+from keystrata.llm.shared import LOWER, UPPER, give_back, giving_back, written
 from keystrata.llm.words import mix, shingles, word_hashes
 
 #: Steps of the coarse scale of set sizes within one factor of the threshold.
@@ -104,6 +104,8 @@ def _classes(rows: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for frame in rows:
         found = [(name, len(marks)) for name, marks in _sets(frame, k)]
         yield pd.DataFrame({"doc_key": frame["doc_key"], "content": frame["content"], "n_shingles": [n for _, n in found], "class": [c for c, _ in found]})
+        del frame, found
+        give_back()
 
 
 def _inverted(rows: Iterator[pd.DataFrame], k: int, buckets: int) -> Iterator[pd.DataFrame]:
@@ -125,6 +127,9 @@ def _inverted(rows: Iterator[pd.DataFrame], k: int, buckets: int) -> Iterator[pd
                 for used, place in [np.unique(owner, return_inverse=True)]
             ]
             yield pd.DataFrame(made, columns=["bucket", "names", "sizes", "keys", "places"])
+            del made, sizes, names, bucket, key, owner
+        del frame
+        give_back()
 
 
 def _shared(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
@@ -270,6 +275,8 @@ def _marks(rows: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
         frame = frame.loc[[len(x) > 0 and digest(x) == c for x, c in zip(found, frame["class"])], ["unit", "class", "marks"]].drop_duplicates("class")
         done.update(frame["class"])
         yield frame
+        del frame, found
+        give_back()
 
 
 def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int, unit_shingles: int | None, bucket_docs: int, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
@@ -284,9 +291,9 @@ def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int, unit_shi
     kind = source.schema["doc_key"].dataType.simpleString()
     rows = written(source.mapInPandas(lambda x: _classes(x, k), f"doc_key {kind}, content long, n_shingles long, class long"), "ngram-classes")
     lists = source.select("text").filter("text IS NOT NULL").mapInPandas(lambda x: _inverted(x, k, buckets), "bucket int, names binary, sizes binary, keys binary, places binary")
-    shared = lists.groupBy("bucket").applyInPandas(lambda x: _shared(x, buckets), "bucket int, payload binary")
-    first = shared.groupBy("bucket").applyInPandas(lambda x: _prefixes(x, percent, buckets), "bucket int, payload binary")
-    units = components(first.groupBy("bucket").applyInPandas(_meet, "a long, b long"))
+    shared = lists.groupBy("bucket").applyInPandas(giving_back(lambda x: _shared(x, buckets)), "bucket int, payload binary")
+    first = shared.groupBy("bucket").applyInPandas(giving_back(lambda x: _prefixes(x, percent, buckets)), "bucket int, payload binary")
+    units = components(first.groupBy("bucket").applyInPandas(giving_back(_meet), "a long, b long"))
     sizes = rows.filter("n_shingles > 0").groupBy("class").agg(F.count("*").alias("copies"), F.min("n_shingles").alias("n"), F.min(F.struct(F.col("doc_key").isNull().alias("none"), "doc_key", "content")).alias("least"))
     members = written(units.withColumnRenamed("node", "class").withColumnRenamed("root", "unit").join(sizes, "class"), "ngram-members")
     one_each = members.select("least.doc_key", "least.content", "class", "unit")
@@ -308,7 +315,7 @@ def _joined(docs: DataFrame, key: str, text: str, k: int, percent: int, unit_shi
     whole = weighed.select("unit", "class", "marks", own.alias("task"))
     hubs = weighed.filter("class = hub AND blocks > 1").select("unit", "class", "marks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     hubs = hubs.select("unit", "class", "marks", F.xxhash64("unit", F.col("block").cast("long")).alias("task"))
-    seek = lambda x: _unit_links(x, percent)
+    seek = giving_back(lambda x: _unit_links(x, percent))
     links = written(whole.unionByName(hubs).withColumn("seeker", F.lit(None).cast("boolean")).groupBy("task").applyInPandas(seek, "a long, b long"), "ngram-links")
     split = weighed.filter("blocks > 1").select("unit", "class", "marks", "blocks")
     if not split.isEmpty():

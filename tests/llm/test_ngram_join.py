@@ -1,5 +1,8 @@
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import duckdb
@@ -172,3 +175,43 @@ def test_sql_agrees(docs, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
     assert {tuple(r) for r in nj.near_classes(docs(*corpus(4)), k=4, percent=85).collect()} == set(c.execute(nj.ORACLE).fetchall())
+
+
+MEMORY = """
+import random, re
+import pyarrow as pa
+from keystrata.llm import ngram_join
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def frames(n):
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(4000)]
+    for _ in range(n):
+        yield pa.table({"text": [" ".join(rng.choices(pool, k=int(rng.lognormvariate(5.3, 1)))) for _ in range(10_000)]}).to_pandas()
+
+for _ in frames(1):
+    pass
+start = held()
+for out in ngram_join._inverted(frames(1), 5, 64):
+    pass
+del out
+print(held() - start)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_a_worker_gives_back_its_memory():
+    """MB that a worker, which lives on beside later stages, holds more after a task than before it."""
+    folder = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": folder})
+    assert float(done.stdout) < 10, done.stdout
+
+
+def test_groups_give_back_their_memory(monkeypatch):
+    from keystrata.llm import shared
+
+    given = []
+    monkeypatch.setattr(shared, "give_back", lambda: given.append(1))
+    assert shared.giving_back(lambda frame: frame * 2)(pd.DataFrame({"a": [1]}))["a"].tolist() == [2] and given == [1]
