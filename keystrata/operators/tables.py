@@ -17,6 +17,8 @@ from keystrata.storage import written
 MOST_CUTS = 255
 #: Most first keys that a floor join broadcasts.
 MOST_LOCAL = 1 << 18
+#: Bytes that a key range holds about at most, and what a row takes in a sort beside its key and value.
+RANGE_BYTES, ROW_BYTES = 32 << 20, 64
 
 
 def run_stats(v: DataFrame, *by: str) -> DataFrame:
@@ -155,6 +157,14 @@ def next_table_id(runs: DataFrame) -> DataFrame:
     return runs.agg((F.coalesce(F.max("table_id"), F.lit(-1)) + 1).cast("long").alias("next_id"))
 
 
-def key_ranges(v: DataFrame, parts: int) -> DataFrame:
-    """Versions dealt into key ranges for new runs, each in entry order; a key never splits."""
+def key_ranges(v: DataFrame, parts: int, range_bytes: int | None = RANGE_BYTES) -> DataFrame:
+    """Versions dealt into key ranges for new runs, each in entry order; a key never splits.
+
+    A task sorts a whole range, so there are more than `parts` ranges where these would hold more
+    than range_bytes each; keys and values of all rows are weighed first. With None the caller has
+    weighed them. A key's versions are one range however many they are.
+    """
+    if range_bytes is not None:
+        weight = v.agg(F.sum(entry_bytes(F.col("user_key"), F.col("value")) + ROW_BYTES)).first()[0] or 0
+        parts = max(parts, -(-weight // range_bytes))
     return v.repartitionByRange(max(1, parts), "user_key").sortWithinPartitions("user_key", F.desc("seq"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keystrata import functions as fn
@@ -171,3 +172,30 @@ def test_floor_block_small_and_large(spark, most):
     assert sorted((bytes(r["user_key"]), r["block"]) for r in got.collect()) == sorted((k, floor(k)) for k in keys)
     none = spark.createDataFrame([], "first_key binary, block int")
     assert tables.floor_block(none, spark.createDataFrame([(b"a",)], "user_key binary"), most).collect()[0]["block"] is None
+
+
+@pytest.mark.parametrize(("rows", "long", "least"), [(1_500_000, 1, 2), (100, 1 << 20, 3)])
+def test_key_ranges_follow_the_bytes(spark, rows, long, least):
+    """Narrow rows and long values: no task sorts much more than the bytes of a range."""
+    log = spark.range(rows).select(
+        F.format_string("%09d", F.expr("id * 7919 % 1000003 div 3")).cast("binary").alias("user_key"), F.col("id").alias("seq"),
+        F.expr(f"cast(repeat('x', {long}) AS binary)").alias("value"), F.lit(False).alias("deleted"),
+    )
+    dealt = tables.key_ranges(log, least).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    found = dealt.groupBy("part").agg(F.count("*").alias("n"), F.min("user_key").alias("head"), F.max("user_key").alias("tail")).orderBy("part").collect()
+    whole = rows * (9 + long + tables.ROW_BYTES)
+    assert sum(r["n"] for r in found) == rows and len(found) > least
+    assert max(r["n"] for r in found) * whole / rows < 2 * tables.RANGE_BYTES
+    assert all(a["tail"] < b["head"] for a, b in zip(found, found[1:]))
+    if long == 1:
+        w = Window.partitionBy("part").orderBy("at")
+        before = dealt.select("user_key", "seq", F.lag("user_key").over(w).alias("k"), F.lag("seq").over(w).alias("s"))
+        assert before.filter("k > user_key OR k = user_key AND s < seq").isEmpty()
+
+
+def test_key_ranges_of_few_rows(spark):
+    df = v(spark, ("b", 1, "x"), ("a", 1, "x"), ("a", 2, None))
+    assert tables.key_ranges(df, 0, None).rdd.getNumPartitions() == 1
+    assert pairs(tables.key_ranges(df, 1)) == [("a", 2), ("a", 1), ("b", 1)]
+    assert pairs(tables.key_ranges(df, 1, 1)) == [("a", 2), ("a", 1), ("b", 1)]
+    assert tables.key_ranges(df.limit(0), 0).collect() == []

@@ -94,3 +94,16 @@ def test_halves_grow_with_the_log(spark, larger, name):
         assert len(rows) < 5_500
     elif name != "tx_overlay_read":
         assert 500 < max(r[1] for r in rows) <= 5_000
+
+
+def test_key_range_runs_of_many_ranges(spark, larger, monkeypatch):
+    """Ranges of 64 KiB: far more than eight, and still one row a key."""
+    ranges = []
+
+    def dealt(v, parts, deal=queries.tables.key_ranges):
+        ranges.append((found := deal(v, parts, 1 << 16)).rdd.getNumPartitions())
+        return found
+
+    monkeypatch.setattr(queries.tables, "key_ranges", dealt)
+    rows = whole(spark, larger, "key_range_runs")
+    assert len(rows) == larger[1].execute("SELECT count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem").fetchone()[0] and ranges[0] > 60
